@@ -39,8 +39,11 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, target_bytes: int, least: int = 12) -> int:
-    """How many partitions of about ``target_bytes`` of input the plan has."""
-    return max(least, -(-size_in_bytes(df) // target_bytes))
+    """How many partitions of about ``target_bytes`` of input the plan has; the session's number where Spark has no estimate."""
+    size = size_in_bytes(df)
+    if size >= 1 << 60:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // target_bytes))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
