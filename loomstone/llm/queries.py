@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import bpe
+from loomstone.llm import bpe, exact_dedup, secrets, token_files
 from loomstone.plans.session import table
 
 
@@ -12,9 +12,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.secret_scan(table(spark, sf_dir, "documents"))
+    return secrets.digests(findings)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op6_secret_scan": op6_secret_scan, "op7_token_files": op7_token_files, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": exact_dedup.ORACLE}
