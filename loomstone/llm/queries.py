@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import bpe, exact_dedup, secrets, token_files
+from loomstone.llm import bpe, exact_dedup, near_dup, secrets, token_files
 from loomstone.plans.session import table
 
 
@@ -12,6 +12,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.secret_scan(table(spark, sf_dir, "documents"))
     return secrets.digests(findings)
@@ -26,7 +30,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op6_secret_scan": op6_secret_scan, "op7_token_files": op7_token_files, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op6_secret_scan": op6_secret_scan, "op7_token_files": op7_token_files, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
