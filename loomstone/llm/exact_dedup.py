@@ -66,3 +66,24 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM n
 """
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns as they are, of each group of equal texts: the one that exact_groups keeps.
+
+    Rows that equal the kept one in id and text are dropped too, whatever their other columns hold. Spark broadcasts
+    the dropped ids only where their table is known to be small.
+    """
+    key = "__exact_dedup_sha256"
+    groups = written(exact_groups(docs, id_col, text_col, digest=True), "dedup-groups")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeat"))
+    rows = docs.withColumn(key, full_hash(F.coalesce(F.col(text_col), F.lit(""))))
+
+    def same(other: DataFrame):
+        return (rows[key] == other["__sha"]) & rows[id_col].cast("long").eqNullSafe(other["__id"])
+
+    losers, repeats = gone.where("not repeat"), gone.where("repeat").select("__id", "__sha").distinct()
+    kept = rows.join(losers, same(losers), "left_anti")
+    if not repeats.isEmpty():
+        kept = kept.join(repeats, same(repeats), "left_anti").unionByName(rows.join(repeats, same(repeats), "left_semi").dropDuplicates([id_col, key]))
+    return kept.drop(key)

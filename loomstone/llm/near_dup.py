@@ -242,3 +242,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     linked = signed.select("doc_id", "fp").where("fp is not null").join(labels, "fp").select("doc_id", "class_id", "n_links", "class_size")
     alone = signed.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
     return linked.unionByName(alone)
+
+
+def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose doc_id is the least of their class; rows with a null id stay.
+
+    Rows that repeat the kept id stay as well: an id stands for one document.
+    """
+    found = written(near_duplicates(docs, threshold, id_col=id_col, text_col=text_col), "near-classes-of-documents")
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import bpe, exact_dedup, near_dup, secrets, token_files
+from loomstone.llm import bpe, decontaminate, exact_dedup, near_dup, quality, secrets, token_files
 from loomstone.plans.session import table
 
 
@@ -16,6 +16,15 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.secret_scan(table(spark, sf_dir, "documents"))
     return secrets.digests(findings)
@@ -30,7 +39,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op6_secret_scan": op6_secret_scan, "op7_token_files": op7_token_files, "op8_exact_dedup": op8_exact_dedup}
+    return {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_quality, op4_decontamination, op6_secret_scan, op7_token_files, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

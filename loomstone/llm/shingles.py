@@ -50,16 +50,22 @@ class WordHasher:
         return np.array(found, np.uint64)
 
 
+def windows_at(words: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words that begin at these places."""
+    out = None
+    for k in range(size):
+        part = words[at.start + k : at.stop + k] if isinstance(at, slice) else words[at + k]
+        out = part * STEP if out is None else (out ^ (out >> np.uint64(29))) * MIX[0] + part * STEP
+    return mix(out + np.uint64(size))
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words, in order; of a shorter, non-empty text its one run of all words."""
     n = len(words)
     if not n:
         return words
     size = min(size, n)
-    out = np.zeros(n - size + 1, np.uint64)
-    for k in range(size):
-        out = mix(out * STEP + words[k : n - size + 1 + k])
-    return mix(out + np.uint64(size))
+    return windows_at(words, slice(0, n - size + 1), size)
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
