@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import bpe, decontaminate, exact_dedup, near_dup, quality, secrets, token_files
+from loomstone.llm import bpe, decontaminate, exact_dedup, lm_score, near_dup, quality, secrets, token_files
 from loomstone.plans.session import table
 
 
@@ -38,8 +38,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_quality, op4_decontamination, op6_secret_scan, op7_token_files, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_quality, op4_decontamination, op6_secret_scan, op7_token_files, op8_exact_dedup, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
