@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstone.llm import bpe, decontaminate, exact_dedup, lm_score, near_dup, quality, secrets, token_files
+from loomstone.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_score, near_dup, quality, secrets, token_files
 from loomstone.plans.session import table
 
 
@@ -25,6 +26,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.secret_scan(table(spark, sf_dir, "documents"))
     return secrets.digests(findings)
@@ -38,12 +43,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages: doc_id or page_id, and the language found."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.language_id(language_id.evidence_rows(docs, table(spark, sf_dir, "pages")), *language_id.train(docs))
+    ids = [F.when(F.col("kind") == kind, F.col("id")).alias(name) for kind, name in (("document", "doc_id"), ("page", "page_id"))]
+    return found.select(*ids, "lang", "probability", "text_lang", "declared")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_quality, op4_decontamination, op6_secret_scan, op7_token_files, op8_exact_dedup, op10_lm_score)}
+    return {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_quality, op4_decontamination, op5_line_dedup, op6_secret_scan, op7_token_files, op8_exact_dedup, op9_language_id, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
