@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES))
     placed = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
     placed = written(placed.select("cid", "rep", "fp", "component", "blocks", "block", "weight", "n", "sig"), "near-members")
-    # The texts again, of one document of each candidate class. Spark broadcasts the ids only where they are known to be few.
-    texts = rows.join(placed.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    # The texts again, of one document of each candidate class: by a merge join at every size, as the ids grow with the input.
+    texts = rows.join(placed.select("rep").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = shingle_sets(texts).groupBy("fp").agg(F.first("set").alias("set"))  # one of each, also where ids repeat
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     work = placed.join(sets, "fp").select("component", F.explode(pairs).alias("p"), "cid", "weight", "n", "sig", "set")
@@ -250,5 +250,5 @@ def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: s
     Rows that repeat the kept id stay as well: an id stands for one document.
     """
     found = written(near_duplicates(docs, threshold, id_col=id_col, text_col=text_col), "near-classes-of-documents")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct().hint("merge")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
