@@ -148,7 +148,9 @@ def unicode_normal_forms(spark, sf):
 
 
 def near_pairs(spark, sf):
-    docs = canon(spark, sf).select("doc_id", "text")
+    """The near stage sees the survivors of the exact stages, so equal texts make no pairs."""
+    survivors = stages(spark, sf).where("kept_after_exact").select("doc_id")
+    docs = canon(spark, sf).select("doc_id", "text").join(survivors, "doc_id", "left_semi")
     sigs = written(minhash.signatures(docs, "doc_id"), "minhash-signatures")
     return written(minhash.candidate_pairs(sigs, key="doc_id"), "minhash-pairs")
 
