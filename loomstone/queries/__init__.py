@@ -21,4 +21,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from loomstone.queries import aggregates, dedup, scalars, selection, tokens  # noqa: F401
+    from loomstone.queries import aggregates, dedup, rules, scalars, selection, tokens  # noqa: F401

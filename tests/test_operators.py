@@ -243,3 +243,7 @@ def test_priorities(spark):
 def test_quotas(spark):
     groups = spark.createDataFrame(pd.DataFrame({"g": ["a", "b", "c"], "w": [1, 1, 1]}))
     assert sorted((r.g, r.quota) for r in S.largest_remainder(groups, "w", "g", 10).collect()) == [("a", 4), ("b", 3), ("c", 3)]
+
+
+def test_bins():
+    assert S.pack_bins([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == [("a", 5, 0), ("b", 4, 1), ("c", 3, 1), ("d", 3, 0)]
