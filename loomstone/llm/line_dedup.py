@@ -101,7 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = id_and_text(docs, id_col, text_col)
     hashes = chunk_rows(rows, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     hashes = written(hashes, "lines-hashes")
-    repeated = written(chunk_rows(rows, True).join(hashes, "hash", "left_semi"), "lines-repeated")
+    repeated = written(chunk_rows(rows, True).join(hashes.hint("merge"), "hash", "left_semi"), "lines-repeated")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "chunk")
     # Grouping by the bytes themselves is the comparison: equal hashes of different bytes part here.
     groups = repeated.groupBy("hash", "bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -133,5 +133,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return fn
 
     keyed = map_arrow(rows, make_keys, "doc binary, doc_id long, text string", rows=256)
-    joined = keyed.join(gone, "doc", "left").select("doc_id", "text", "gone")
+    joined = keyed.join(gone.hint("merge"), "doc", "left").select("doc_id", "text", "gone")
     return map_arrow(joined, make, "doc_id long, text string, n_lines long, removed_lines long, removed_chunks long", rows=256)
