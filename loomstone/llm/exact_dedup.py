@@ -71,8 +71,8 @@ FROM n
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, all columns as they are, of each group of equal texts: the one that exact_groups keeps.
 
-    Rows that equal the kept one in id and text are dropped too, whatever their other columns hold. Spark broadcasts
-    the dropped ids only where their table is known to be small.
+    Rows that equal the kept one in id and text are dropped too, whatever their other columns hold. The dropped
+    ids grow with the input, so the join is a merge join at every size.
     """
     key = "__exact_dedup_sha256"
     groups = written(exact_groups(docs, id_col, text_col, digest=True), "dedup-groups")
@@ -82,7 +82,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def same(other: DataFrame):
         return (rows[key] == other["__sha"]) & rows[id_col].cast("long").eqNullSafe(other["__id"])
 
-    losers, repeats = gone.where("not repeat"), gone.where("repeat").select("__id", "__sha").distinct()
+    losers, repeats = gone.where("not repeat").hint("merge"), gone.where("repeat").select("__id", "__sha").distinct()
     kept = rows.join(losers, same(losers), "left_anti")
     if not repeats.isEmpty():
         kept = kept.join(repeats, same(repeats), "left_anti").unionByName(rows.join(repeats, same(repeats), "left_semi").dropDuplicates([id_col, key]))
