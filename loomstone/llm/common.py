@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,34 @@ def crc_bucket(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Bytes of text in one slice, so that a worker's arrays keep their size however long the texts are (one text at least).
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``most_bytes`` bytes of strings and binaries."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > at and (i - at >= rows or total + size > most_bytes):
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += size
+    if batch.num_rows:
+        yield batch.slice(at)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]], schema: str, rows: int = 1024) -> DataFrame:
-    """mapInArrow in slices of at most ``rows`` rows. ``make`` runs once in each task and returns the function of a slice."""
+    """mapInArrow in slices of bounded size. ``make`` runs once in each task and returns the function of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows))
+            for part in slices(batch, rows):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import as_bytes, crc_bucket, id_and_text, map_arrow
+from loomstone.llm.common import as_bytes, crc_bucket, id_and_text, map_arrow, slices
 from loomstone.llm.shingles import STEP, WordHasher, mix
 from loomstone.plans.session import size_in_bytes, written
 
@@ -32,8 +32,8 @@ LEVELS = 48
 #: Weight of the single-token distribution in that of a context, in tokens.
 PRIOR = 64.0
 BROADCAST_BYTES = 160 << 20
-SHARD_BYTES = 16 << 20
-BUFFER_TOKENS = 2_000_000
+SHARD_BYTES = 4 << 20
+BUFFER_TOKENS = 1_000_000
 CHUNK_DOCS = 512
 
 END = np.uint64(0x5EED_0E0D_0000_0001)
@@ -150,8 +150,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([keys[lo:hi].tobytes()], pa.binary()), pa.array([counts[lo:hi].astype(np.uint32).tobytes()], pa.binary())], ["shard", "keys", "counts"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_DOCS):
-                single, pair, _ = tokens.read(as_bytes(batch.column(1).slice(at, CHUNK_DOCS)))
+            for part in slices(batch, CHUNK_DOCS):
+                single, pair, _ = tokens.read(as_bytes(part.column(1)))
                 held += [single, pair]
                 n += len(single)
                 if n >= BUFFER_TOKENS:
@@ -233,8 +233,7 @@ def score_by_shards(rows: DataFrame, shards: DataFrame, bits: int, n: int, v: in
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, chunk = Tokens(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_DOCS):
-                part = batch.slice(at, CHUNK_DOCS)
+            for part in slices(batch, CHUNK_DOCS):
                 single, pair, sizes = tokens.read(as_bytes(part.column(1)))
                 keys, inverse = np.unique(np.concatenate([single, pair]), return_inverse=True)
                 ids = part.column(0).to_pylist()

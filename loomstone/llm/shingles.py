@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-WORD_CACHE, LONG_WORD = 600_000, 100
+WORD_CACHE, LONG_WORD = 250_000, 100
 #: ASCII characters that are no letters or digits part words; what is above ASCII stays.
 WORD_BYTES = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
