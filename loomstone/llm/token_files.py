@@ -15,8 +15,10 @@ escapes. Blocks hold a fixed count of ids, so they can be decoded alone and at o
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import as_bytes, id_and_text
+from loomstone.llm.bpe import byte_of_char
+from loomstone.llm.common import as_bytes, id_and_text, slices
 from loomstone.plans.session import partitions_for, shared_path, written
 
 MAGIC = b"LSTS8B01"
@@ -35,7 +38,19 @@ MAGIC = b"LSTS8B01"
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 16 << 20
-WORD_CACHE, LONG_WORD = 600_000, 100
+WORD_CACHE, LONG_WORD = 800_000, 100
+#: Words of ASCII marks, digits and letters and of the letters of Latin-1, which normalisation only lower-cases.
+SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Fixed value: the pre-tokenizer's pattern for such words in lower case.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The character that stands for each byte in the vocabulary.
+SHOWN = {b: c for c, b in byte_of_char().items()}
+
+
+def both(first: np.ndarray, second: np.ndarray, distance: int) -> np.ndarray:
+    out = first.copy()
+    np.maximum(first[:-distance], second[distance:], out=out[:-distance])
+    return out
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,20 +59,23 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    selector = np.zeros(n, np.uint8)
-    step = np.ones(n, np.int64)
-    at = np.arange(n)
-    for s in range(len(LAYOUT), 0, -1):  # wider counts come later and win
+    # The widest of the next ``count`` values, for each place, from the widest of fewer; behind the end there is nothing.
+    widest = {1: np.zeros(n + 60, np.uint8)}
+    widest[1][:n] = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)
+    selector, step = np.zeros(n, np.uint8), np.ones(n, np.uint8)
+    for s in range(len(LAYOUT), 0, -1):  # higher counts come later and win
         count, bits = LAYOUT[s - 1]
-        fits = ids < np.uint64(1 << bits)
         if count > 1:
-            if not fits.any():
-                break
-            wide = np.zeros(n + 1, np.int64)
-            np.cumsum(~fits, out=wide[1:])
-            fits = wide[np.minimum(at + count, n)] == wide[:-1]
-        selector[fits] = s
-        step[fits] = count
+            half = max(c for c in widest if c < count)
+            rest = max(c for c in widest if c <= count - half)
+            while half + rest < count:
+                widest[half + rest] = both(widest[half], widest[rest], half)
+                half, rest = half + rest, max(c for c in widest if c <= count - half - rest)
+            widest[count] = both(widest[half], widest[rest], half)
+        fits = widest[count][:n] <= bits
+        np.copyto(selector, s, where=fits)
+        np.copyto(step, count, where=fits)
+    at = np.arange(n)
     nexts, starts, i = (at + step).tolist(), [], 0
     while i < n:
         starts.append(i)
@@ -180,11 +198,38 @@ class ShardReader:
             yield (None if null else doc), pieces
 
 
+class Cache:
+    """A bounded map in two generations: what was not asked for during a generation goes."""
+
+    def __init__(self, most: int) -> None:
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full. Between turns ``young`` keeps all that was asked for."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that are unknown; the others are in ``young`` afterwards."""
+        young, old = self.young, self.old
+        out = []
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    young[k] = v
+        return out
+
+
 class WordTokenizer:
-    """The tokenizers library, asked once for each distinct word.
+    """The tokenizers library, asked once for each distinct piece.
 
     Normaliser and pre-tokenizer of the vocabulary never join what ASCII white space parts, so a text's ids are
-    those of its words, one after the other. The words' ids are kept in a bounded cache.
+    those of its words, one after the other. A word of simple characters is lower-cased, which there is the whole of
+    normalisation, and parted as the pre-tokenizer does it, and the library's model encodes its pieces; any other
+    word goes through the whole of the library. Words and pieces are kept in bounded caches.
     """
 
     def __init__(self, path: str) -> None:
@@ -193,22 +238,38 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.pieces = Cache(WORD_CACHE), Cache(WORD_CACHE)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        known, split = self.known, [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > WORD_CACHE:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        self.words.turn()
+        self.pieces.turn()
+        split = [t.split() for t in texts]
+        new = self.words.missing(set().union(*split))
+        simple, findall, parted, small, whole = SIMPLE.fullmatch, PIECE.findall, [], set(), set()
         for w in new:
-            if len(w) > LONG_WORD:
-                del known[w]
+            text = w.decode()
+            if simple(text) and "<|" not in text:
+                parts = findall(text.lower())
+                small.update(parts)
+            else:
+                parts = [text]
+                whole.add(text)
+            parted.append(parts)
+        small, whole = self.pieces.missing(small), self.pieces.missing(whole - small)
+        pieces, words, model = self.pieces.young, self.words.young, self.library.model.tokenize
+        for p in small:
+            pieces[p] = array("I", [t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(SHOWN))]).tobytes()
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
+            for p, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
+                pieces[p] = array("I", e.ids).tobytes()
+        for w, ps in zip(new, parted, strict=True):
+            words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        out = [np.frombuffer(b"".join([words[w] for w in ws]), "<u4") for ws in split]
+        for known, keys in ((words, new), (pieces, small), (pieces, whole)):
+            for k in keys:
+                if len(k) > LONG_WORD:
+                    del known[k]
         return out
 
 
@@ -241,8 +302,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
         words, shard, writer = word_tokenizer(path), TaskContext.get().partitionId(), None
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 512):
                 writer = writer or ShardWriter(folder, f"{shard:07d}-{uuid.uuid4().hex}.s8b")
                 for doc, ids in zip(part.column(0).to_pylist(), words.encode(as_bytes(part.column(1))), strict=True):
                     writer.add(doc, np.concatenate([ids, end]))
