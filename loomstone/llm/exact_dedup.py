@@ -21,11 +21,6 @@ def full_hash(text: Column) -> Column:
     return F.sha2(lower_ascii(text).cast("binary"), 256)
 
 
-def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that more than one row has. Counts are summed before the shuffle, so a hot key is a few rows."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -43,9 +38,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefix = F.xxhash64(lower_ascii(F.substring("text", 1, PREFIX))).alias("prefix")
     content = full_hash(F.col("text")) if digest else F.col("text")
 
-    short = written(rows.select(length, prefix), "dedup-short")
-    lengths = repeated(short, "length")
-    suspects = written(repeated(short.join(lengths, "length", "left_semi"), "length", "prefix"), "dedup-suspects")
+    short = written(rows.select(length, prefix).groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")), "dedup-short")
+    lengths = short.groupBy("length").agg(F.sum("n").alias("of_length")).where("of_length > 1")
+    suspects = written(short.join(lengths, "length").where("n > 1").select("length", "prefix"), "dedup-suspects")
 
     flagged = rows.select("doc_id", length, prefix, content.alias("content")).join(suspects.withColumn("suspect", F.lit(True)), ["length", "prefix"], "left")
     hashed = F.col("content") if digest else F.when(F.col("suspect"), full_hash(F.col("content")))
