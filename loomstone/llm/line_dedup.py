@@ -1,9 +1,9 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages of lines, wherever they begin and end.
 
-A rolling hash over the hashes of the last WINDOW lines ends a chunk where it falls in a fixed residue class, so that
-the chunks of a passage are the same wherever it stands, whatever comes before. A line of LONG_WORDS words or more
-is a chunk of its own. Chunks of several lines (or one long line) that occur more than once in the corpus are
-compared byte by byte and removed, all but the first.
+Every two lines in a row that are not blank (with the blank lines between them) are a window, and so is a line of
+LONG_WORDS words or more. Windows that occur more than once in the corpus are compared byte by byte, and the lines of
+all but the first occurrence are removed. A passage of two lines or more is the union of its windows, so it is found
+whole, with its first and last line, whatever stands around it. The first occurrence of each line stays.
 """
 
 from __future__ import annotations
@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import as_bytes, id_and_text, map_arrow
 from loomstone.plans.session import written
 
-WINDOW, RESIDUES, MOST_LINES = 2, 3, 64
 LONG_WORDS = 50
-STEP, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def is_long(line: bytes) -> bool:
@@ -29,21 +27,11 @@ def is_long(line: bytes) -> bool:
 
 
 def chunks(text: bytes) -> list[tuple[int, int]]:
-    """First line and end (exclusive) of each chunk; together they are all lines of the text."""
+    """First line and end (exclusive) of each chunk, a line with the blank ones before it; together they are all lines of the text."""
     lines = text.split(b"\n")
-    hash_of, out, first, rolled = xxhash.xxh3_64_intdigest, [], 0, [0] * WINDOW
+    out, first = [], 0
     for i, line in enumerate(lines):
-        if is_long(line):
-            if first < i:
-                out.append((first, i))
-            out.append((i, i + 1))
-            first, rolled = i + 1, [0] * WINDOW
-            continue
-        rolled = [*rolled[1:], hash_of(line)]
-        mixed = 0
-        for h in rolled:
-            mixed = (mixed * STEP + h) & MASK
-        if (mixed >> 32) % RESIDUES == 0 or i + 1 - first >= MOST_LINES:
+        if line.strip():
             out.append((first, i + 1))
             first = i + 1
     if first < len(lines):
@@ -51,14 +39,23 @@ def chunks(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def windows(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """First chunk, chunks and bytes of each window: of each two lines in a row, and of each long line. How many blank lines
+    stand between two lines doesn't matter."""
+    before = None
+    for k, line in enumerate(x for x in text.split(b"\n") if x.strip()):
+        if is_long(line):
+            yield k, 1, line
+        if before is not None:
+            yield k - 1, 2, before + b"\n" + line
+        before = line
+
+
 def eligible(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Number and bytes of the chunks that may be removed: of at least two lines, not all blank, or of one long line."""
-    lines = text.split(b"\n")
-    for k, (first, end) in enumerate(chunks(text)):
-        if end - first > 1 or is_long(lines[first]):
-            data = b"\n".join(lines[first:end])
-            if data.strip():
-                yield k, data
+    """Number of each chunk that may be removed and the bytes for whose repetition it is, once for each window that it is in."""
+    for first, n, data in windows(text):
+        for k in range(n):
+            yield first + k, b"%d|" % k + data
 
 
 def document_key(doc_id: int | None, text: bytes) -> bytes:
@@ -67,35 +64,35 @@ def document_key(doc_id: int | None, text: bytes) -> bytes:
 
 
 def chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """doc_id, text -> doc_id, doc, chunk, hash, and, if asked for, bytes."""
+    """doc_id, text -> doc_id, doc, chunk, span, hash, and, if asked for, bytes: one row for each window."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 doc = document_key(doc_id, text)
-                for k, data in eligible(text):
+                for k, span, data in windows(text):
                     h = xxhash.xxh3_64_intdigest(data)
-                    out.append((doc_id, doc, k, h - (1 << 64) if h >> 63 else h, data))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            names, kinds = ["doc_id", "doc", "chunk", "hash", "bytes"], [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
-            n = 5 if with_bytes else 4
+                    out.append((doc_id, doc, k, span, h - (1 << 64) if h >> 63 else h, data))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            names, kinds = ["doc_id", "doc", "chunk", "span", "hash", "bytes"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            n = 6 if with_bytes else 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:n], kinds[:n], strict=True)], names[:n])
 
         return fn
 
-    return map_arrow(docs, make, "doc_id long, doc binary, chunk int, hash long" + ", bytes binary" * with_bytes, rows=256)
+    return map_arrow(docs, make, "doc_id long, doc binary, chunk int, span int, hash long" + ", bytes binary" * with_bytes, rows=256)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text (without the repeated chunks), n_lines, removed_lines, removed_chunks.
+    """One row per input row: doc_id, text (without the repeated passages), n_lines, removed_lines, removed_chunks (lines that are not blank).
 
-    Of a repeated chunk the occurrence with the least doc_id stays (null ids come last; then the first in the text).
+    Of a repeated window the occurrence with the least doc_id stays (null ids come last; then the first in the text).
     Rows that equal each other in id and text are one document and get one result. A null text counts as empty and
-    has one empty line; an empty table gives an empty table; other columns are left out. A chunk's lines go with their line
-    ends; what is left is joined by line ends.
+    has one empty line; an empty table gives an empty table; other columns are left out. A line goes with the blank lines before it and
+    its line end; what is left is joined by line ends.
 
-    Counts are summed before the shuffle. Bytes are dealt out only to be compared, and a chunk that a third of
+    Counts are summed before the shuffle. Bytes are dealt out only to be compared, and a window that a third of
     all documents share is one key in joins of a kind that Spark splits.
     """
     rows = id_and_text(docs, id_col, text_col)
@@ -106,7 +103,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Grouping by the bytes themselves is the comparison: equal hashes of different bytes part here.
     groups = repeated.groupBy("hash", "bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = repeated.join(groups.select("hash", "bytes", "first"), ["hash", "bytes"]).where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("chunk") == F.col("first.chunk"))))
-    gone = gone.groupBy("doc").agg(F.collect_set("chunk").alias("gone"))  # bounded by a document's own chunks
+    gone = gone.select("doc", F.explode(F.sequence("chunk", F.col("chunk") + F.col("span") - 1)).alias("chunk")).groupBy("doc").agg(F.collect_set("chunk").alias("gone"))  # bounded by a document's own chunks
     gone = written(gone, "lines-gone")
 
     def make_keys():

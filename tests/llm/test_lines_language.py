@@ -63,6 +63,22 @@ def test_boundaries_resist_shifts():
     assert len(a & b) >= len(a) - 2
 
 
+def test_passages_of_few_short_lines_are_found_whole(spark):
+    rng = random.Random(11)
+    line = lambda: " ".join("q%d" % rng.randrange(10**6) for _ in range(rng.randint(2, 8)))
+    rows, passages = [], {n: [line() for _ in range(n)] for n in range(2, 11)}
+    for i in range(90):
+        own = [line() for _ in range(rng.randint(2, 9))]
+        cut, n = rng.randrange(len(own) + 1), 2 + i % 9
+        rows.append((i, "\n".join(own[:cut]), passages[n], "\n\n" * (i % 2) + "\n".join(own[cut:])))
+    docs = [(i, "\n".join([a, *p, b])) for i, a, p, b in rows] + [(200, "lone\n\nhead"), (201, "head\n\nother")]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, a, p, b in rows:
+        assert all((x in got[i]) == (i < 9) for x in p)
+        assert all(x in got[i] for x in (a + "\n" + b).split("\n") if x)
+    assert got[200] == ["lone", "", "head"] and got[201] == ["head", "", "other"]
+
+
 def test_chunks_cover_all_lines():
     for text in (b"", b"\n", b"a\nb\nc", b"x\n" * 500, b" ".join([b"w"] * 80) + b"\nshort"):
         parts = line_dedup.chunks(text)
