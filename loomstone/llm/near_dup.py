@@ -140,15 +140,15 @@ def find(parent: list[int], x: int) -> int:
     return x
 
 
-def links_in(rows: list[tuple], threshold: float) -> list[tuple[int, int, int]]:
-    """Rows of one pair of blocks: cid, side (0 or 1), weight, n, sig, set. All on side 0: pairs within the block.
+def links_in(rows: list[tuple], threshold: float, within: bool) -> list[tuple[int, int, int]]:
+    """Rows of one pair of blocks: cid, side (0 or 1), weight, n, sig, set. Within one block all are on side 0; of two blocks
+    one may be empty, and there are no pairs.
 
     Gives cid, root (a class it is linked with, through links of these rows), links (documents it is linked to here).
     """
     sides = [[r for r in rows if r[1] == s] for s in (0, 1)]
-    within = not sides[1]
     a, b = sides[0], sides[0] if within else sides[1]
-    if not a or len(a) < 1 + within:
+    if not b or len(a) < 1 + within:
         return []
     sig = [np.frombuffer(b"".join(r[4] for r in x), np.uint32).reshape(len(x), -1) for x in (a, b)]
     least = (threshold - MARGIN) * sig[0].shape[1]
@@ -187,13 +187,13 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if row[:3] != key:
-                    out += links_in(held, threshold)
+                    out += links_in(held, threshold, key is not None and key[1] == key[2])
                     key, held = row[:3], []
                     if len(out) > 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                         out = []
                 held.append(row[3:])
-        out += links_in(held, threshold)
+        out += links_in(held, threshold, key is not None and key[1] == key[2])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 

@@ -112,3 +112,10 @@ def test_components(spark, seed):
 def test_depth_shortens_to_recall():
     k = near_dup.depth_for(0.8, 0.999)
     assert 1 - (1 - 0.8**k) ** near_dup.TREES >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** near_dup.TREES
+
+
+def test_more_blocks_than_classes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 16)
+    words = ["b%d" % k for k in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == [(1, 1, 1, 2), (2, 1, 1, 2), (3, 3, 0, 1)]
