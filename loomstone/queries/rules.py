@@ -175,6 +175,6 @@ def shard_bin_packing(spark, sf):
 @query()
 def mojibake_recovery(spark, sf):
     """Texts that were read in the wrong encoding, and what they were: UTF-8 bytes that stand as Latin-1 characters."""
-    docs = table(spark, sf, "documents").select("doc_id", F.decode(F.encode(F.substring("text", 1, 200), "UTF-8"), "ISO-8859-1").alias("broken"), F.substring("text", 1, 200).alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("broken"), "text")
     fixed = F.decode(F.encode("broken", "ISO-8859-1"), "UTF-8")
     return docs.select("doc_id", (fixed == F.col("text")).alias("recovered"), (F.col("broken") != F.col("text")).alias("was_broken"))

@@ -247,3 +247,11 @@ def test_quotas(spark):
 
 def test_bins():
     assert S.pack_bins([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == [("a", 5, 0), ("b", 4, 1), ("c", 3, 1), ("d", 3, 0)]
+
+
+def test_mojibake_reads_whole_texts(spark, tmp_path):
+    from loomstone.queries.rules import mojibake_recovery
+
+    rows = [(1, "a" * 300 + "é"), (2, "a" * 300), (3, "é")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in mojibake_recovery(spark, str(tmp_path)).collect()) == [(1, True, True), (2, True, False), (3, True, True)]
