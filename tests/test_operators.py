@@ -255,3 +255,12 @@ def test_mojibake_reads_whole_texts(spark, tmp_path):
     rows = [(1, "a" * 300 + "é"), (2, "a" * 300), (3, "é")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(tuple(r) for r in mojibake_recovery(spark, str(tmp_path)).collect()) == [(1, True, True), (2, True, False), (3, True, True)]
+
+
+def test_merge_steps_count_rare_and_long_segments(spark, tmp_path):
+    from loomstone.queries.tokens import bpe_merge_steps
+
+    text = " ".join(["ab" + x for x in "cdefghijkl"] + ["xy" * 30])  # ab ten times, each segment once; one segment over 40 characters
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.left, r.right, r.n) for r in bpe_merge_steps(spark, str(tmp_path)).orderBy("id").collect()]
+    assert got[:2] == [("x", "y", 30), ("xy", "xy", 29)] and ("a", "b", 10) in got and all(n >= 10 for _, _, n in got)
