@@ -1,9 +1,9 @@
 """Quality classifier by Bradley-Terry ranking: a linear score learned from pairs of a better and a worse document.
 
 The chance that one document is better than another is the logistic function of the difference of their scores, so
-the weights come from a logistic loss on differences of feature vectors, without an intercept. The threshold is the
-quantile of the training scores that rejects as large a share as is labelled bad; scores are then mapped to 0..1 so
-that this quantile stands at the wanted cut.
+the weights come from a logistic loss on differences of feature vectors, without an intercept, over a bounded sample.
+The threshold is the quantile of the scores of all training documents that rejects as large a share as is labelled bad;
+scores are then mapped to 0..1 so that this quantile stands at the wanted cut.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import crc_bucket, id_and_text, map_arrow
+from loomstone.plans.session import written
 
 #: Bound of the labelled sample that the classifier is fitted on (rows, per label), and of the pairs drawn from it.
 SAMPLE_ROWS, PAIRS = 6000, 60_000
+#: Bounds of what the driver gets for a quantile: bins of a histogram, and values of the bin that holds the rank.
+BINS, FEW = 1024, 10_000
 CUT = 0.7
 SEED = 20_240_229
 
@@ -73,7 +76,7 @@ def features(text: str) -> list[float]:
     ]
 
 
-def fit(x: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray | float]:
+def fit(x: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
     """Weights from preference pairs; with one label only, weights of zero.
 
     Pairs are drawn with a fixed seed from the cross product of both labels; Newton's method with a small penalty.
@@ -94,23 +97,62 @@ def fit(x: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray | float]:
             w += step
             if np.abs(step).max() < 1e-6:
                 break
-    scores = z @ w if len(x) else np.zeros(0)
-    # The quantile at the share of bad labels; between both sides of it, so that ties fall on neither.
-    order, k = np.sort(scores), int((label == 0).sum())
-    threshold = float((order[max(0, k - 1)] + order[min(k, len(order) - 1)]) / 2) if len(order) else 0.0
-    spread = float(scores.std() if len(scores) else 0) or 1.0
-    return {"mean": mean, "scale": scale, "w": w, "threshold": threshold, "spread": spread}
+    return {"mean": mean, "scale": scale, "w": w}
+
+
+def linear(model: dict, x: np.ndarray) -> np.ndarray:
+    """Row by row, so that a document's score is the same in every batch."""
+    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+    return (np.hstack([z, np.abs(z), z * z / 4]) * model["w"]).sum(axis=1)
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
     """0 to 1; CUT where the linear score is at the threshold."""
-    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
-    raw = np.hstack([z, np.abs(z), z * z / 4]) @ model["w"]
-    return 1 / (1 + np.exp(-np.clip(4 * (raw - model["threshold"]) / model["spread"] + math.log(CUT / (1 - CUT)), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(4 * (linear(model, x) - model["threshold"]) / model["spread"] + math.log(CUT / (1 - CUT)), -30, 30)))
+
+
+def at_rank(values: DataFrame, rank: int) -> float:
+    """The value of a rank (from 0) of the column ``s``, by histograms that narrow down to the rank's bin."""
+    part, low = values.select("s"), None
+    while True:
+        if low is not None:
+            part = values.select("s").where(F.col("s").between(low, high))
+        least, most, n = part.agg(F.min("s"), F.max("s"), F.count(F.lit(1))).first()
+        if least == most:
+            return least
+        if n <= FEW:
+            return sorted(r.s for r in part.collect())[rank]
+        place = F.floor((F.col("s") - least) / (most - least) * BINS)
+        for b in sorted(part.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect()):
+            if rank < b.n:
+                low, high = b.low, b.high
+                break
+            rank -= b.n
+
+
+def thresholds(docs: DataFrame, known: DataFrame, model: dict) -> dict[str, float]:
+    """The quantile of all training documents' scores at the share of bad labels, between both sides of it, so that ties fall
+    on neither; and the spread of these scores. No text is dealt out."""
+
+    def make():
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = np.array([features(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(NAMES))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(linear(model, x))], ["label_id", "s"])
+
+        return fn
+
+    scored = map_arrow(docs.where("doc_id is not null"), make, "label_id long, s double")
+    scored = written(scored.join(known.select("label_id", "label").hint("merge"), "label_id").select("label", "s"), "quality-scores")
+    n, bad, spread = scored.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0), F.stddev_pop("s")).first()
+    if not n:
+        return {"threshold": 0.0, "spread": 1.0}
+    threshold = (at_rank(scored, max(0, bad - 1)) + at_rank(scored, min(bad, n - 1))) / 2
+    return {"threshold": threshold, "spread": float(f"{spread:.9g}") or 1.0}  # the last digits hang on the order of the sum
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """Fit on at most SAMPLE_ROWS labelled documents of each label, chosen by the hash of the id, whose crc32 bucket is not held out.
+    """Fit on at most SAMPLE_ROWS labelled documents of each label, chosen by the hash of the id, whose crc32 bucket is not held out;
+    the threshold is over all of those that are not held out.
 
     Labels that are null, neither 0 nor 1, or contradict each other for one id are left out.
     """
@@ -135,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
     y = np.array(sample.column("label").to_pylist(), np.int64)
     order = np.lexsort((*x.T, y)) if len(y) else np.zeros(0, int)  # the same weights however the rows arrive
-    return fit(x[order], y[order])
+    model = fit(x[order], y[order])
+    return model | thresholds(rows, known, model)
 
 
 def quality_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,6 +55,23 @@ def test_quality_ignores_held_out_labels(spark):
     assert quality.quality_scores(docs, one).count() == 80
 
 
+def test_quality_threshold_does_not_hang_on_the_sample(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(5, 60), i % 7 != 0 or rng.random() < 0.3), int(i % 7 != 0)) for i in range(420)]
+    docs = frame(spark, [(i, t) for i, t, _ in rows]).repartition(3)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    trained = [(i, q) for i, _, q in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    kept = []
+    for most, few in ((6000, 10_000), (30, 10)):
+        monkeypatch.setattr(quality, "SAMPLE_ROWS", most)
+        monkeypatch.setattr(quality, "FEW", few)
+        model = quality.train(docs, labels)
+        got = {r.doc_id: r.predicted for r in quality.quality_scores(docs, model).collect()}
+        kept.append(sum(got[i] for i, _ in trained) / len(trained))
+    good = np.mean([q for _, q in trained])
+    assert all(abs(k - good) < 0.03 for k in kept)
+
+
 def leaks(spark, docs, items):
     bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
     return sorted((r.doc_id, r.item_id, r.verbatim) for r in decontaminate.find_leaks(docs, bench).collect())
