@@ -22,7 +22,7 @@ CONTAINMENT = 0.8
 STRETCH = 1.25
 #: Characters of benchmark text in one part: the join's small side, which each worker holds, is bounded by it.
 PART_CHARS = 4_000_000
-#: Windows with fewer literal words than this are compared by their plain words.
+#: An item whose slots are filled anew must show this many literal words; windows without any are found beside others.
 LITERALS = 2
 
 TOKEN = re.compile(rb"[0-9]+(?:[.,][0-9]+)*|[A-Za-z\x80-\xff][A-Za-z0-9\x80-\xff]*|[.!?:\n]")
@@ -33,14 +33,15 @@ UNITS = frozenset(
     "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur gbp percent degree degrees celsius fahrenheit hz khz mhz ghz w kw mw v kb mb gb tb mph kmh".split()
 )
-WORD, NUMBER, UNIT, NAME, MARK = range(5)
+#: START: capitalised and first in a sentence, so a name or a word.
+WORD, NUMBER, UNIT, NAME, MARK, START = range(6)
 
 
 def slot_hash(kind: int) -> int:
     return xxhash.xxh3_64_intdigest(b"\x00slot%d" % kind)
 
 
-SLOTS = np.array([slot_hash(k) for k in range(5)], np.uint64)
+SLOTS = np.array([slot_hash(NAME if k == START else k) for k in range(6)], np.uint64)
 
 
 KIND_BITS = 7
@@ -67,7 +68,7 @@ class Templates:
         return value
 
     def read_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Plain hashes, kinds and text numbers of the texts' tokens. A unit follows a number; a name doesn't begin a sentence or text."""
+        """Plain hashes, kinds and text numbers of the texts' tokens. A unit follows a number; what begins a sentence or text may be a name."""
         get, make, find = self.known.get, self.token, TOKEN.findall
         values, sizes = [], []
         for t in texts:
@@ -79,7 +80,7 @@ class Templates:
         kind = (values & np.uint64(KIND_BITS)).astype(np.int64)
         before = np.concatenate([[MARK], kind[:-1]])
         kind[(kind == UNIT) & (before != NUMBER)] = WORD
-        kind[(kind == NAME) & (before == MARK)] = WORD
+        kind[(kind == NAME) & (before == MARK)] = START
         real = kind != MARK
         return (values & ~np.uint64(KIND_BITS))[real], kind[real], of[real]
 
@@ -88,15 +89,16 @@ class Templates:
 
 
 def template_windows(plain: np.ndarray, kind: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Positions and hashes of all windows: with numbers and units as slots, and, where it has names, with names as slots too.
+    """Positions and hashes of all windows: with numbers and units as slots, and, where it has names, with names as slots too, once
+    without and once with the capitalised words that begin sentences.
 
-    Windows of hardly any literal words keep their plain words.
+    Windows without any literal word keep their plain words.
     """
     n = len(plain) - size + 1
     if n <= 0:
         return []
     literal = windows(plain, size)
-    slot, name = (kind == NUMBER) | (kind == UNIT), kind == NAME
+    slot, name, start = (kind == NUMBER) | (kind == UNIT), kind == NAME, kind == START
 
     def inside(flags: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(flags)])
@@ -106,7 +108,7 @@ def template_windows(plain: np.ndarray, kind: np.ndarray, size: int) -> list[tup
         """Of the windows at these places, with slots in them."""
         tokens = np.where(flags, SLOTS[kind], plain)
         found = windows_at(tokens, at, size)
-        return np.where(size - inside(flags)[at] < min(LITERALS, size), literal[at], found)
+        return np.where(inside(flags)[at] == size, literal[at], found)
 
     first = literal.copy()
     at = np.flatnonzero(inside(slot))
@@ -116,9 +118,16 @@ def template_windows(plain: np.ndarray, kind: np.ndarray, size: int) -> list[tup
     at = np.flatnonzero(inside(name))
     if len(at):
         out.append((at, hashed(slot | name, at)))
+    at = np.flatnonzero(inside(start))
+    if len(at):
+        out.append((at, hashed(slot | name | start, at)))
     return out
 
 
+def slot_kinds(kind: np.ndarray) -> np.ndarray:
+    return np.where(kind == START, NAME, kind)
+
+
 class Benchmark:
     """Window tables of a bounded part of the benchmark."""
 
@@ -177,6 +186,7 @@ class Benchmark:
         out = []
         for k, found in sorted(hits.items()):
             item, item_plain, item_kind, size, n = self.items[k]
+            found += self.beside(found, kind, item_kind, size, n)
             if len({q for _, q in found}) < CONTAINMENT * n:
                 continue
             best = self.region(sorted(set(found)), n, plain, kind, item_plain, item_kind, size)
@@ -184,6 +194,20 @@ class Benchmark:
                 out.append((item, *best))
         return out
 
+    @staticmethod
+    def beside(found, kind, item_kind, size, n) -> list[tuple[int, int]]:
+        """Windows of slots only, on the diagonals of the windows found: they match where the kinds do."""
+        mine, theirs = slot_kinds(item_kind), slot_kinds(kind)
+        dense = [q for q in range(n) if (mine[q : q + size] != WORD).all()] if size > 1 else []
+        if not dense:
+            return []
+        out = []
+        for d in sorted({p - q for p, q in found}):
+            for q in dense:
+                if 0 <= q + d <= len(theirs) - size and np.array_equal(mine[q : q + size], theirs[q + d : q + d + size]):
+                    out.append((q + d, q))
+        return out
+
     @staticmethod
     def region(found, n, plain, kind, item_plain, item_kind, size):
         """The best region of the document of about the item's length, if it holds enough of the item's windows, consistently."""
@@ -199,6 +223,9 @@ class Benchmark:
             if len(inside) >= CONTAINMENT * n and (best is None or len(inside) > best[0]):
                 part = found[first : last + 1]
                 consistent, same = consistent_windows(part, plain, kind, item_plain, item_kind, size)
+                literal = {q + k for q in consistent for k in range(size) if item_kind[q + k] in (WORD, START)}
+                if not same and len(literal) < LITERALS:
+                    continue
                 if len(consistent) >= CONTAINMENT * n and (best is None or len(consistent) > best[0]):
                     best = len(consistent), part[0][0], same
                     if len(consistent) == n:
@@ -209,6 +236,7 @@ class Benchmark:
 def consistent_windows(part, plain, kind, item_plain, item_kind, size):
     """The item's windows in this region whose fillers agree with the region's mapping: each of the item's fillers, by kind,
     stands for the filler that it meets most often. And whether all of them stand for themselves."""
+    item_kind = slot_kinds(item_kind)  # a name is one slot, first in a sentence or not
     votes: dict[tuple, Counter] = defaultdict(Counter)
     slotted = [(p, q, [k for k in range(size) if plain[p + k] != item_plain[q + k]]) for p, q in part]
     aligned = defaultdict(set)

@@ -94,6 +94,21 @@ def test_slots_must_be_consistent():
     assert table.matches(*reader.read(same)) and not table.matches(*reader.read(mixed))
 
 
+def test_names_that_begin_sentences_and_dense_numbers():
+    reader = decontaminate.Templates()
+    problem = "{0} buys 3 red pens at the shop on the corner. {0} sells 2 of them to the teacher of music. {0} keeps the rest in a box under the old desk. How many are in the box"
+    table = decontaminate.Benchmark([(1, problem.format("Ana"))])
+    found = table.matches(*reader.read("Some text before it. " + problem.format("Zoe") + ". And after"))
+    assert [(m[0], m[1], m[3]) for m in found] == [(1, 1.0, False)]
+    mixed = problem.replace("{0} sells", "Tom sells").replace("{0} keeps", "Eva keeps")
+    assert all(m[1] < 0.9 for m in table.matches(*reader.read(mixed.format("Zoe"))))
+    numbers = "Add the numbers {} and {} then {} {} {} {} {} {} {} {} to find the mean"
+    table = decontaminate.Benchmark([(2, numbers.format(*range(10, 20))), (3, "Buy 5")])
+    assert [(m[0], m[1], m[3]) for m in table.matches(*reader.read(numbers.format(*range(31, 41))))] == [(2, 1.0, False)]
+    assert not table.matches(*reader.read("they buy 7 and " + " ".join(map(str, range(50, 90)))))
+    assert [m[0] for m in table.matches(*reader.read("they buy 5"))] == [3]
+
+
 def test_benchmark_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART_CHARS", 100)
     items = [(k, ITEM.replace("green river", f"word{k} river").replace("old station", f"place{k} station"), "a") for k in range(6)]
