@@ -20,8 +20,8 @@ from loomstone.llm.common import as_bytes, crc_bucket, map_arrow
 from loomstone.plans.session import written
 
 BINS = 1 << 16
-#: Bound of the model: languages, the most frequent ones of the training rows.
-MOST_LANGUAGES = 64
+#: Languages whose sums a counting task holds at once.
+HELD_LANGUAGES = 64
 #: A text counts as at most this many independent trigrams.
 MOST_EVIDENCE = 60.0
 #: Weight of the level above, in pages, in the prior of a host, a site and a suffix, and of all in a declaration.
@@ -44,22 +44,34 @@ def bins_of(text: bytes) -> np.ndarray:
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in order of their names, and log10 probabilities (language, bin).
 
-    From all rows with a language whose crc32(doc_id) mod 5 is not 2. The driver gets at most MOST_LANGUAGES * BINS sums.
+    From all rows with a language whose crc32(doc_id) mod 5 is not 2. The driver gets a row for each bin that a language has, and
+    the table takes BINS numbers for each language that occurs.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.trim(lang_col)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = known.where("lang is not null and lang <> ''").where(crc_bucket(F.col("doc_id"), 5) != 2)
-    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r.lang for r in frequent.collect())
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     place = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BINS), np.int64)
+        sums: dict[int, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            bins = {k: np.flatnonzero(v) for k, v in sums.items()}
+            lang = np.repeat(np.array(list(bins), np.int32), [len(v) for v in bins.values()])
+            at = np.concatenate([*bins.values(), np.zeros(0, np.int64)]).astype(np.int32)
+            n = np.concatenate([*(sums[k][v] for k, v in bins.items()), np.zeros(0, np.int64)]).astype(np.int64)
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["lang", "bin", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if lang in place:
-                    sums[place[lang]] += np.bincount(bins_of(text), minlength=BINS)
-        lang, at = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[lang, at])], ["lang", "bin", "n"])
+                k = place[lang]
+                if k not in sums:
+                    if len(sums) >= HELD_LANGUAGES:
+                        yield rows()
+                    sums[k] = np.zeros(BINS, np.int64)
+                sums[k] += np.bincount(bins_of(text), minlength=BINS)
+        yield rows()
 
     table = np.full((len(languages), BINS), 0.5)
     summed = known.select("lang", "text").mapInArrow(count, "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
@@ -69,7 +81,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
 def likelihoods(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """Adds ``text_p`` array<double>: the posterior of the text alone with a flat prior, and drops ``text``. Markup is taken out of pages."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T.astype(np.float32)))  # BINS * MOST_LANGUAGES at most
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T.astype(np.float32)))  # a quarter of a MB for each language
 
     def make():
         model = shared.value
@@ -117,7 +129,7 @@ def evidence_rows(docs: DataFrame | None, pages: DataFrame | None) -> DataFrame:
         out = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.coalesce("source", F.lit("")).alias("host"), F.lit("").alias("site"), F.lit("").alias("suffix"), none.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
     if pages is not None:
         host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-        declared = F.lower(F.regexp_extract(F.substring(F.coalesce("html", F.lit("")), 1, 4096), DECLARED, 1))
+        declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1))
         page = pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), host.alias("host"), F.nullif(declared, F.lit("")).alias("declared"), F.coalesce("html", F.lit("")).alias("text"))
         page = page.withColumn("site", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
         page = page.select("kind", "id", "host", "site", "suffix", "declared", "text")

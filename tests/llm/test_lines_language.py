@@ -120,3 +120,19 @@ def test_evidence_decides_where_text_does_not(spark):
     got = {r.id: r.lang for r in language_id.language_id(language_id.evidence_rows(None, spark.createDataFrame(pages, "page_id long, url string, html string")), *language_id.train(docs)).collect()}
     assert len(got) == len(pages) and got[200] == "de" and got[201] == "fr" and got[202] == "de"
     assert all(got[k] == "de" for k in range(40)) and all(got[100 + k] == "fr" for k in range(40))
+
+
+def test_late_declaration_and_many_languages(spark):
+    rng = random.Random(6)
+    names = ["x%02d" % k for k in range(70)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {x: ["".join(rng.choices(letters, k=6)) for _ in range(8)] for x in names}
+    rows = [(i, " ".join(rng.choices(vocabulary[names[i % 70]], k=20)), "a", "b", "s%d" % (i % 70), names[i % 70]) for i in range(420)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    languages, table = language_id.train(docs)
+    assert languages == names and len(table) == 70
+    late = spark.createDataFrame([(1, "http://a.test/", "<!--" + "banner " * 1000 + '--><html class="x" lang="fr-CA"><p>le la</p>')], "page_id long, url string, html string")
+    got = language_id.language_id(language_id.evidence_rows(docs, late), languages, table).collect()
+    assert [r.declared for r in got if r.kind == "page"] == ["fr"]
+    held = [r for r in got if r.kind == "document" and zlib.crc32(str(r.id).encode()) % 5 == 2]
+    assert held and all(r.text_lang == names[r.id % 70] for r in held)
