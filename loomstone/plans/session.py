@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, local runs) a folder of our own is made and set.
+    Only where it is unset and the master is local (tests, local runs) a folder of our own is made and set; on a
+    cluster a folder of one machine would lose data, so an unset one is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="loomstone-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -33,17 +36,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bounds of the number of partitions that is derived from a size; above the most, partitions grow with the input.
+MOST_PARTITIONS = 100_000
+
+
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (file sizes for a file scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables that the plan reads (file sizes for a file scan), each as often as it is read; no job runs.
+
+    Sums over the leaves of the plan: the estimate of a join is the product of its sides, which says nothing. Where a leaf has
+    no estimate the sum is 1 << 60 or more.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
 def partitions_for(df: DataFrame, target_bytes: int, least: int = 12) -> int:
-    """How many partitions of about ``target_bytes`` of input the plan has; the session's number where Spark has no estimate."""
+    """How many partitions of about ``target_bytes`` of input the plan has, MOST_PARTITIONS at most; the session's number where
+    Spark has no estimate."""
     size = size_in_bytes(df)
     if size >= 1 << 60:
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, -(-size // target_bytes))
+    return min(MOST_PARTITIONS, max(least, -(-size // target_bytes)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
