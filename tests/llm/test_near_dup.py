@@ -119,3 +119,48 @@ def test_more_blocks_than_classes(spark, monkeypatch):
     words = ["b%d" % k for k in range(200)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[::-1]))], "doc_id long, text string")
     assert sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == [(1, 1, 1, 2), (2, 1, 1, 2), (3, 3, 0, 1)]
+
+
+def near_copies(rng, base, share):
+    """A copy whose shingles have about this Jaccard similarity with those of the base."""
+    copy = list(base)
+    for at in rng.sample(range(len(base)), max(1, round(len(base) * (1 - share) / (1 + share) / 5))):
+        copy[at] = "c%d" % rng.randrange(10**9)
+    return copy
+
+
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(300):
+        base = ["k%d_%d" % (k, i) for i in range(200)]
+        texts += [" ".join(base), " ".join(near_copies(rng, base, 0.81))]
+    sets = sets_of(texts)
+    linked = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 600, 2)]
+    got = {r.doc_id: r.n_links for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    recall = sum(got[2 * i] == 1 for i, x in enumerate(linked) if x) / sum(linked)
+    print("recall at 0.8", recall, "of", sum(linked))
+    assert sum(linked) > 200 and recall >= 0.99
+
+
+def test_unlike_texts_in_one_node_make_no_component(spark):
+    """Texts that share a long passage pairwise far below the threshold fall into common nodes, but no edges come of it."""
+    rng = random.Random(6)
+    common = ["m%d" % i for i in range(60)]
+    texts = [" ".join([*common, *("o%d" % rng.randrange(10**9) for _ in range(60))]) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = near_dup.signatures(docs).withColumnRenamed("doc_id", "cid")
+    assert near_dup.candidates(classes, 0.8, 0.999, near_dup.MARGIN, 4).count() == 0
+    assert near_dup.forest_of(classes, [4]).groupBy("d4").count().where("count > 1").count() > 0
+
+
+def test_prefixes_are_shortened_class_by_class():
+    assert near_dup.depths(0.8, 0.999) == [8, 6, 4] and near_dup.depths(0.5, 0.999)[-1] == near_dup.depth_for(0.5, 0.999)
+    rng = random.Random(7)
+    sig = [rng.randrange(1 << 16) for _ in range(128)]
+    pack = lambda s: b"".join(x.to_bytes(2, "little") for x in s)
+    rows = [(k, 0, k != 2, pack(sig[:-k] + [0] * k if k else sig)) for k in range(3)]
+    found = near_dup.agreements(rows, True, 0.8, 0.2, 8)
+    assert [(c, r, n) for c, r, n, _ in found] == [(0, 0, 2), (1, 0, 2), (2, 0, 2)] and all(0 <= m < 1e-3 for *_, m in found)
+    closed = [(c, 0, False, s) for c, _, _, s in rows]
+    assert near_dup.agreements(closed, True, 0.8, 0.2, 8) == []
