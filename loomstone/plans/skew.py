@@ -32,7 +32,7 @@ def bitmap_of(hashes: DataFrame, column: str, entries: int, most_bits: int = 28)
     """
     bits = min(most_bits, max(16, int(32 * max(1, entries) - 1).bit_length()))
     place = F.shiftrightunsigned(column, 64 - bits)
-    word, bit = F.shiftright(place, 6), F.shiftleft(F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     found = hashes.groupBy(word.cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
