@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
 from loomstone.llm.common import id_and_text, map_arrow
 
@@ -31,6 +33,10 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{
 #: Words with at most one space before them, and the rest of the white space: no piece crosses these bounds.
 CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: Unicode version whose letters and digits are the same for the pattern's engine here and for the tokenizers library; newer
+#: characters go through the library's own splitter, as its tables are of another version than those of ``regex``.
+SETTLED = unicodedata.ucd_3_2_0
+
 #: Bounds of the caches in a worker (entries), and of the chunks that are kept (characters).
 CHUNK_CACHE, PAIR_CACHE, LONG_CHUNK = 600_000, 1_000_000, 100
 ENDLESS = 1 << 60
@@ -49,6 +55,19 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
+def newer_characters() -> re.Pattern:
+    """Characters that SETTLED does not assign."""
+    ranges, category = [], SETTLED.category
+    for c in range(128, 0x110000):
+        if category(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 class ByteBPE:
     """One vocabulary: tables, automaton and bounded caches. Built once in each Python worker."""
 
@@ -89,6 +108,7 @@ class ByteBPE:
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.pieces = regex.compile(PIECES)
         self.words = re.compile(CHUNKS)
+        self.newer, self.splitter = newer_characters(), ByteLevel(add_prefix_space=False, use_regex=True)
         self.apart = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def compatible(self, a: int, b: int) -> bool:
@@ -135,7 +155,11 @@ class ByteBPE:
         return out[::-1]
 
     def encode_pieces(self, chunk: str) -> list[int]:
-        return [i for p in self.pieces.findall(chunk) for i in self.encode_piece(p.encode())]
+        if not chunk.isascii() and self.newer.search(chunk):
+            pieces = [chunk[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(chunk)]
+        else:
+            pieces = self.pieces.findall(chunk)
+        return [i for p in pieces for i in self.encode_piece(p.encode())]
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         if chunk.isascii() and chunk[1:].isalpha():  # one piece: letters after at most one other character, a space or a letter
