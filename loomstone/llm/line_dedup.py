@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import as_bytes, id_and_text, map_arrow
 from loomstone.plans.session import written
+from loomstone.plans.skew import bitmap_of, hot_join, in_bitmap
 
 LONG_WORDS = 50
 
@@ -63,25 +65,41 @@ def document_key(doc_id: int | None, text: bytes) -> bytes:
     return hashlib.blake2b(b"%d|" % doc_id + text if doc_id is not None else b"|" + text, digest_size=16).digest()
 
 
-def chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """doc_id, text -> doc_id, doc, chunk, span, hash, and, if asked for, bytes: one row for each window."""
+def window_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, text -> hash of each window."""
 
     def make():
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [xxhash.xxh3_64_intdigest(data) for text in as_bytes(batch.column(1)) for _, _, data in windows(text)]
+            return pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["hash"])
+
+        return fn
+
+    return map_arrow(docs.select("doc_id", "text"), make, "hash long", rows=256)
+
+
+def window_rows(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """doc_id, text -> doc_id, doc, chunk, span, hash, bytes: one row for each window whose hash may be in the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def make():
+        repeated = shared.value
+
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                doc = document_key(doc_id, text)
-                for k, span, data in windows(text):
-                    h = xxhash.xxh3_64_intdigest(data)
-                    out.append((doc_id, doc, k, span, h - (1 << 64) if h >> 63 else h, data))
+                found = list(windows(text))
+                hashes = np.array([xxhash.xxh3_64_intdigest(data) for *_, data in found], np.uint64)
+                kept = np.flatnonzero(in_bitmap(repeated, hashes)).tolist()
+                doc = document_key(doc_id, text) if kept else b""
+                out += [(doc_id, doc, *found[i][:2], int(hashes[i].view(np.int64)), found[i][2]) for i in kept]
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             names, kinds = ["doc_id", "doc", "chunk", "span", "hash", "bytes"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            n = 6 if with_bytes else 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:n], kinds[:n], strict=True)], names[:n])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         return fn
 
-    return map_arrow(docs, make, "doc_id long, doc binary, chunk int, span int, hash long" + ", bytes binary" * with_bytes, rows=256)
+    return map_arrow(docs, make, "doc_id long, doc binary, chunk int, span int, hash long, bytes binary", rows=256)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,17 +110,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     has one empty line; an empty table gives an empty table; other columns are left out. A line goes with the blank lines before it and
     its line end; what is left is joined by line ends.
 
-    Counts are summed before the shuffle. Bytes are dealt out only to be compared, and a window that a third of
-    all documents share is one key in joins of a kind that Spark splits.
+    Counts are summed before the shuffle. A bitmap of the repeated hashes, of a fixed size, keeps nearly all other windows
+    from being dealt out, and a window that a third of all documents share is one row that is broadcast to them.
     """
     rows = id_and_text(docs, id_col, text_col)
-    hashes = chunk_rows(rows, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    hashes = written(hashes, "lines-hashes")
-    repeated = written(chunk_rows(rows, True).join(hashes.hint("merge"), "hash", "left_semi"), "lines-repeated")
+    hashes = written(window_hashes(rows).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "lines-hashes")
+    maybe = window_rows(rows, bitmap_of(hashes, "hash", hashes.count()))
+    repeated = written(maybe.join(hashes.hint("merge"), "hash", "left_semi"), "lines-repeated")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "chunk")
     # Grouping by the bytes themselves is the comparison: equal hashes of different bytes part here.
-    groups = repeated.groupBy("hash", "bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = repeated.join(groups.select("hash", "bytes", "first"), ["hash", "bytes"]).where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("chunk") == F.col("first.chunk"))))
+    groups = written(repeated.groupBy("hash", "bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lines-groups")
+    gone = hot_join(repeated, groups, ["hash", "bytes"], "n", repeated.count())
+    gone = gone.where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("chunk") == F.col("first.chunk"))))
     gone = gone.select("doc", F.explode(F.sequence("chunk", F.col("chunk") + F.col("span") - 1)).alias("chunk")).groupBy("doc").agg(F.collect_set("chunk").alias("gone"))  # bounded by a document's own chunks
     gone = written(gone, "lines-gone")
 
