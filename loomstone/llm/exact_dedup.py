@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import id_and_text, lower_ascii
 from loomstone.plans.session import written
+from loomstone.plans.skew import hot_join
 
 PREFIX = 64
 
@@ -31,24 +32,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text_sha256 is null for rows that the refinement parts before their full content is needed, as they are alone.
     With ``digest`` every row has it; then the hash is made in the scan's own tasks, so that no text is dealt out.
     Every other step deals out rows of a few numbers; groupings are sums or maxima that are combined before the
-    shuffle, and the joins back to rows are of a kind that Spark splits where a key is hot.
+    shuffle, and what belongs to a hot key is broadcast to its rows, which then stay where they are.
     """
     rows = id_and_text(docs, id_col, text_col)
-    length = F.octet_length("text").alias("length")
-    prefix = F.xxhash64(lower_ascii(F.substring("text", 1, PREFIX))).alias("prefix")
-    content = full_hash(F.col("text")) if digest else F.col("text")
+    keys = ["length", "prefix"]
+    sized = rows.select("doc_id", F.octet_length("text").alias("length"), F.xxhash64(lower_ascii(F.substring("text", 1, PREFIX))).alias("prefix"), (full_hash(F.col("text")) if digest else F.col("text")).alias("content"))
+    sized = written(sized, "dedup-sized") if digest else sized
 
-    short = written(rows.select(length, prefix).groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")), "dedup-short")
-    lengths = short.groupBy("length").agg(F.sum("n").alias("of_length")).where("of_length > 1")
-    suspects = written(short.join(lengths, "length").where("n > 1").select("length", "prefix"), "dedup-suspects")
+    short = written(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "dedup-short")
+    total = short.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lengths = short.groupBy("length").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("length")
+    suspects = written(short.where("n > 1").join(lengths.hint("merge"), "length", "left_semi").withColumn("suspect", F.lit(True)), "dedup-suspects")
 
-    flagged = rows.select("doc_id", length, prefix, content.alias("content")).join(suspects.withColumn("suspect", F.lit(True)), ["length", "prefix"], "left")
+    flagged = hot_join(sized, suspects, keys, "n", total, "left")
     hashed = F.col("content") if digest else F.when(F.col("suspect"), full_hash(F.col("content")))
-    flagged = written(flagged.select("doc_id", "length", "prefix", "suspect", hashed.alias("text_sha256")), "dedup-hashed")
+    flagged = written(flagged.select("doc_id", *keys, "suspect", hashed.alias("text_sha256")), "dedup-hashed")
 
-    counted = flagged.where("suspect").groupBy("length", "prefix", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    groups = flagged.where("suspect").groupBy("length", "prefix", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copies = counted.join(groups, ["length", "prefix", "text_sha256"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    keys = [*keys, "text_sha256"]
+    counted = written(flagged.where("suspect").groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("copies")), "dedup-counted")
+    groups = written(counted.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "dedup-groups")
+    copies = hot_join(counted, groups, keys, "group_size", total).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     alone = flagged.where("suspect is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return copies.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256").unionByName(alone)
