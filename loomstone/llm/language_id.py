@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import as_bytes, crc_bucket, map_arrow
 from loomstone.plans.session import written
+from loomstone.plans.skew import hot_join
 
 BINS = 1 << 16
 #: Languages whose sums a counting task holds at once.
@@ -27,8 +28,47 @@ MOST_EVIDENCE = 60.0
 #: Weight of the level above, in pages, in the prior of a host, a site and a suffix, and of all in a declaration.
 PRIOR = 5.0
 
-TAGS = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;")
-DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})"
+#: The attributes of the first html tag, and the language among them; each pattern passes over a page once.
+HTML_TAG = r"(?is)<html\b([^<>]*)"
+DECLARED = r"(?is)(?:^|[\s\"'])lang\s*=\s*[\"']?\s*([a-z]{2,3})"
+#: Second labels under which countries register sites.
+SECOND = "co|com|org|net|gov|edu|ac|ne|or|go"
+SUFFIX = rf"(?:^|\.)((?:{SECOND})\.[a-z]{{2}}|[^.]+)$"
+SITE = rf"(?:^|\.)([^.]+\.(?:(?:{SECOND})\.[a-z]{{2}}|[^.]+))$"
+
+RAW = re.compile(rb"(?i)(script|style)\b")
+ENTITY = re.compile(rb"(?i)&[a-z#0-9]+;")
+
+
+def without_markup(page: bytes) -> bytes:
+    """Tags, comments, scripts, styles and entities become spaces; what opens and never closes stays as text.
+
+    One pass: an end that was looked for in vain is not looked for again, so broken markup takes no more time than good.
+    """
+    out, at, ends, low = [], 0, {}, None
+    while (start := page.find(b"<", at)) >= 0:
+        out.append(page[at:start])
+        raw = RAW.match(page, start + 1)
+        if raw:
+            low = page.lower() if low is None else low
+            close = b"</" + raw[1].lower()
+            end = -1 if ends.get(close) else low.find(close, raw.end())
+            ends[close] = end < 0
+            end = end if end < 0 else page.find(b">", end)
+        elif page.startswith(b"<!--", start):
+            end = -1 if ends.get(b"-->") else page.find(b"-->", start + 4)
+            ends[b"-->"] = end < 0
+            end = end if end < 0 else end + 2
+        else:
+            end = -1
+        if end < 0:
+            end = -1 if ends.get(b">") else page.find(b">", start)
+            ends[b">"] = end < 0
+        if end < 0:  # nothing closes any more
+            at = start
+            break
+        at = end + 1
+    return ENTITY.sub(b" ", b" ".join([*out, page[at:]]))
 
 
 def bins_of(text: bytes) -> np.ndarray:
@@ -90,7 +130,7 @@ def likelihoods(rows: DataFrame, languages: list[str], table: np.ndarray) -> Dat
             names = batch.schema.names
             out = []
             for kind, text in zip(batch.column(names.index("kind")).to_pylist(), as_bytes(batch.column(names.index("text"))), strict=True):
-                bins = bins_of(TAGS.sub(b" ", text) if kind == "page" else text)
+                bins = bins_of(without_markup(text) if kind == "page" else text)
                 if not len(bins):
                     out.append([1 / len(languages)] * len(languages))
                     continue
@@ -115,10 +155,11 @@ def sums_by(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*parts).select(*keys, F.array(*(F.col(f"s{k}") for k in range(n))).alias("sums"))
 
 
-def smoothed(sums: Column, above: Column) -> Column:
-    """Soft counts and the distribution above, as one distribution."""
-    total = F.aggregate(sums, F.lit(0.0), lambda a, x: a + x) + PRIOR
-    return F.zip_with(F.coalesce(sums, F.transform(above, lambda _: F.lit(0.0))), above, lambda s, a: (s + PRIOR * a) / F.coalesce(total, F.lit(PRIOR)))
+def smoothed(sums: Column, own: Column, above: Column) -> Column:
+    """The distribution above and the soft counts of all other rows (a row's own posterior is taken out), as one distribution."""
+    others = F.zip_with(F.coalesce(sums, own), own, lambda s, o: F.greatest(s - o, F.lit(0.0)))
+    total = F.aggregate(others, F.lit(0.0), lambda a, x: a + x) + PRIOR
+    return F.zip_with(others, above, lambda s, a: (s + PRIOR * a) / total)
 
 
 def evidence_rows(docs: DataFrame | None, pages: DataFrame | None) -> DataFrame:
@@ -129,9 +170,9 @@ def evidence_rows(docs: DataFrame | None, pages: DataFrame | None) -> DataFrame:
         out = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.coalesce("source", F.lit("")).alias("host"), F.lit("").alias("site"), F.lit("").alias("suffix"), none.alias("declared"), F.coalesce("text", F.lit("")).alias("text"))
     if pages is not None:
         host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-        declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1))
+        declared = F.lower(F.regexp_extract(F.regexp_extract(F.coalesce("html", F.lit("")), HTML_TAG, 1), DECLARED, 1))
         page = pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), host.alias("host"), F.nullif(declared, F.lit("")).alias("declared"), F.coalesce("html", F.lit("")).alias("text"))
-        page = page.withColumn("site", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
+        page = page.withColumn("site", F.regexp_extract("host", SITE, 1)).withColumn("suffix", F.regexp_extract("host", SUFFIX, 1))
         page = page.select("kind", "id", "host", "site", "suffix", "declared", "text")
         out = page if out is None else out.unionByName(page)
     return out
@@ -142,8 +183,9 @@ def language_id(rows: DataFrame, languages: list[str], table: np.ndarray) -> Dat
 
     Null and empty texts have a flat likelihood, so the other evidence decides; ties go to the first language by name.
     Null addresses have the empty host. With no languages known lang is null. Repeated rows each have a row; an empty table
-    gives an empty table. A host that a third of all rows share is one key of sums that are combined before the
-    shuffle, and one row of the joined table.
+    gives an empty table. A row's own text is left out of the sums of its host, site, suffix and declaration, so it counts once.
+    A host that a third of all rows share is one key of sums that are combined before the shuffle, and is broadcast to its rows.
+    A document's host is its source; documents that carry a language train the text model.
     """
     n = len(languages)
     if not n:
@@ -158,15 +200,21 @@ def language_id(rows: DataFrame, languages: list[str], table: np.ndarray) -> Dat
     sites = up(hosts, "kind", "suffix", "site")
     suffixes = up(sites, "kind", "suffix")
     total = up(suffixes).select("sums").first()
-    flat = F.array(*[F.lit(1.0 / n)] * n)
-    everything = F.array(*(F.lit(float(x)) for x in (np.array(total.sums if total and total.sums[0] is not None else [0.0] * n) + 1) / (sum(total.sums if total and total.sums[0] is not None else [0.0]) + n)))
-    suffixes = suffixes.select("kind", "suffix", smoothed(F.col("sums"), everything).alias("of_suffix"))
-    sites = sites.join(suffixes, ["kind", "suffix"]).select("kind", "suffix", "site", smoothed(F.col("sums"), F.col("of_suffix")).alias("of_site"))
-    priors = hosts.join(sites, ["kind", "suffix", "site"]).select("kind", "host", smoothed(F.col("sums"), F.col("of_site")).alias("prior"))
+    total = np.array(total.sums if total and total.sums[0] is not None else [0.0] * n)
+    # Everything in one distribution, with one row more of each language; of hosts, sites and suffixes the sums side by side.
+    everything, all_rows = F.array(*(F.lit(float(x) + 1) for x in total)), float(total.sum()) + n
+    priors = hosts.withColumnRenamed("sums", "of_host").join(sites.withColumnRenamed("sums", "of_site"), ["kind", "suffix", "site"]).join(suffixes.withColumnRenamed("sums", "of_suffix"), ["kind", "suffix"])
+    priors = written(priors.join(scored.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("rows")), ["kind", "host"]).select("kind", "host", "rows", "of_host", "of_site", "of_suffix"), "language-priors")
+    joined = hot_join(scored, priors, ["kind", "host"], "rows", scored.count())
+    declared = sums_by(scored.where("declared is not null"), n, "declared").select("declared", F.col("sums").alias("of_declared"))
+    joined = joined.join(declared, "declared", "left")
+    own, flat = F.col("text_p"), F.array(*[F.lit(1.0 / n)] * n)
+    above = F.zip_with(everything, own, lambda a, o: (a - o) / (all_rows - 1.0))
+    joined = joined.withColumn("above", above)
+    for level in ("of_suffix", "of_site", "of_host"):
+        joined = joined.withColumn("prior", smoothed(F.col(level), own, F.col("above" if level == "of_suffix" else "prior")))
     # Of a declaration: how much likelier it makes each language than it is over all.
-    declared = sums_by(scored.where("declared is not null"), n, "declared").select("declared", smoothed(F.col("sums"), everything).alias("of_declared"))
-    joined = scored.join(priors, ["kind", "host"]).join(declared, "declared", "left")
-    lift = F.when(F.col("of_declared").isNull(), flat).otherwise(F.zip_with("of_declared", everything, lambda d, a: d / a))
+    lift = F.when(F.col("of_declared").isNull(), flat).otherwise(F.zip_with(smoothed(F.col("of_declared"), own, F.col("above")), "above", lambda d, a: d / a))
     weight = F.zip_with(F.zip_with("text_p", "prior", lambda a, b: a * b), lift, lambda a, b: a * b)
     weighed = joined.select("kind", "id", "declared", "text_p", weight.alias("w"))
     best = F.array_max("w")
