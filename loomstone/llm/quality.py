@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_ROWS).select("label_id", "label")
         picked = part if picked is None else picked.unionByName(part)
     rows = id_and_text(docs, id_col, text_col)
-    chosen = rows.join(F.broadcast(picked), rows.doc_id == picked.label_id).select("label", "text")  # 2 * SAMPLE_ROWS rows at most
+    chosen = rows.join(F.broadcast(picked), rows.doc_id == picked.label_id)
+    chosen = chosen.groupBy("label_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")  # one row for each id, also where documents repeat it
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
