@@ -33,7 +33,9 @@ LEVELS = 48
 PRIOR = 64.0
 BROADCAST_BYTES = 160 << 20
 SHARD_BYTES = 4 << 20
-BUFFER_TOKENS = 1_000_000
+#: Bounds the shards, which are tasks, and so the records that a flush of a counting task makes.
+MOST_SHARD_BITS = 15
+BUFFER_TOKENS, COMPACT_BYTES = 1_000_000, 64 << 20
 CHUNK_DOCS = 512
 
 END = np.uint64(0x5EED_0E0D_0000_0001)
@@ -41,9 +43,12 @@ SINGLE, PAIR = np.uint64(0), np.uint64(1)
 
 
 def shard_bits(docs: DataFrame) -> int:
-    """2 to this power is the number of shards: one for each SHARD_BYTES of input."""
+    """2 to this power is the number of shards: one for each SHARD_BYTES of input, MOST_SHARD_BITS at most; above that shards
+    grow with the input. Where Spark has no estimate of the size, the texts' bytes are summed."""
     size = size_in_bytes(docs)
-    return 4 if size >= 1 << 60 else max(4, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(MOST_SHARD_BITS, max(4, math.ceil(math.log2(max(1, size / SHARD_BYTES)))))
 
 
 class Tokens:
@@ -93,10 +98,10 @@ def probes(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         yield ((first + np.uint64(i) * second) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
 
-def filter_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def filter_of(keys: np.ndarray, counts: np.ndarray, entry_bits: int = BITS) -> bytes:
     level = np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2 c)
     entries = int(level.sum())
-    size = min(max(64, entries * BITS + 7 & ~7), 1 << 31)
+    size = min(max(64, entries * entry_bits + 7 & ~7), 1 << 31)
     flags = np.zeros(size, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         for at in probes(keys[level >= j], j, size):
@@ -137,7 +142,7 @@ def answers(keys: np.ndarray, filter_bytes: bytes, single_keys: bytes, single_co
     return levels_in(filter_bytes, keys), exact
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, int]:
+def train(docs: DataFrame, entry_bits: int = BITS, compact_bytes: int = COMPACT_BYTES) -> tuple[DataFrame, int]:
     """doc_id, text of the training documents -> the shards (shard, filter, single_keys, single_counts, n_tokens, n_distinct), and the bits of a shard number."""
     bits = shard_bits(docs)
 
@@ -161,10 +166,13 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
             yield from flush()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def all_of(blocks):
+            return summed(np.concatenate([k for k, _ in blocks]), np.concatenate([c for _, c in blocks]).astype(np.int64))
+
         def made(shard, blocks):
-            keys, counts = summed(np.concatenate([np.frombuffer(k, np.uint64) for k, _ in blocks]), np.concatenate([np.frombuffer(c, np.uint32) for _, c in blocks]).astype(np.int64))
+            keys, counts = all_of(blocks)
             single = (keys & PAIR) == SINGLE
-            row = [shard, filter_of(keys, counts), keys[single].tobytes(), counts[single].tobytes(), int(counts[single].sum()), int(single.sum())]
+            row = [shard, filter_of(keys, counts, entry_bits), keys[single].tobytes(), counts[single].tobytes(), int(counts[single].sum()), int(single.sum())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["shard", "filter", "single_keys", "single_counts", "n_tokens", "n_distinct"])
 
         now, blocks, waiting = None, [], 0
@@ -174,15 +182,14 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
                     yield made(now, blocks)
                     blocks, waiting = [], 0
                 now = shard
-                blocks.append((keys, counts))
+                blocks.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)))
                 waiting += len(keys)
-                if waiting > 64 << 20:  # sums so far, so that a shard takes the room of its distinct keys
-                    k, c = summed(np.concatenate([np.frombuffer(k, np.uint64) for k, _ in blocks]), np.concatenate([np.frombuffer(c, np.uint32) for _, c in blocks]).astype(np.int64))
-                    blocks, waiting = [(k.tobytes(), np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes())], 0
+                if waiting > compact_bytes:  # sums so far, so that a shard takes the room of its distinct keys
+                    blocks, waiting = [all_of(blocks)], 0
         if blocks:
             yield made(now, blocks)
 
-    counted = docs.mapInArrow(count, "shard int, keys binary, counts binary").repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    counted = docs.mapInArrow(count, "shard int, keys binary, counts binary").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard")
     return written(counted.mapInArrow(build, "shard int, filter binary, single_keys binary, single_counts binary, n_tokens long, n_distinct long"), "lm-shards"), bits
 
 
@@ -278,12 +285,12 @@ def score_by_shards(rows: DataFrame, shards: DataFrame, bits: int, n: int, v: in
     asked = written(rows.mapInArrow(ask, "chunk long, shard int, data binary"), "lm-asked")
     none = F.lit(None).cast("binary")
     to_shards = asked.where("shard >= 0").select("chunk", "shard", "data", none.alias("single_keys"), none.alias("single_counts")).unionByName(shards.select(F.lit(None).cast("long").alias("chunk"), "shard", F.col("filter").alias("data"), "single_keys", "single_counts"))
-    replies = to_shards.repartition(1 << bits, "shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(reply, "chunk long, shard int, data binary")
+    replies = to_shards.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(reply, "chunk long, shard int, data binary")
     back = asked.where("shard = -1").unionByName(replies).repartition(1 << bits, "chunk").sortWithinPartitions("chunk", "shard")
     return back.mapInArrow(finish, OUT_SQL)
 
 
-def lm_scores(docs: DataFrame, buckets: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, buckets: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, entry_bits: int = BITS, compact_bytes: int = COMPACT_BYTES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32 bucket is not ``held``. A null or empty text has one token, the end; a null id counts
@@ -291,7 +298,7 @@ def lm_scores(docs: DataFrame, buckets: int = 7, held: int = 2, id_col: str = "d
     no training rows all counts are zero. Other columns are left out.
     """
     rows = id_and_text(docs, id_col, text_col)
-    shards, bits = train(rows.where(crc_bucket(F.col("doc_id"), buckets) != held))
+    shards, bits = train(rows.where(crc_bucket(F.col("doc_id"), buckets) != held), entry_bits, compact_bytes)
     stored = F.length("filter") + F.length("single_keys") + F.length("single_counts")
     n, v, size = shards.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(stored), F.lit(0))).first()
     scored = (score_by_broadcast if size <= broadcast_bytes else score_by_shards)(rows, shards, bits, n, v)

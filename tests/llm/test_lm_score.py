@@ -91,3 +91,45 @@ def test_bigrams_help_on_held_out_text(spark):
     docs = spark.createDataFrame([(i, text(), 0.5, "x", 1) for i in range(300)], SCHEMA)
     held = [r for r in lm_score.lm_scores(docs).collect() if r.held_out]
     assert held and np.mean([r.score > r.base_score for r in held]) > 0.95
+
+
+def brute_model(rows):
+    """The model's score with exact counts that are quantised as the filter's levels are."""
+    bucket = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    one, two = Counter(), Counter()
+    for i, x in rows:
+        if bucket(i) != 2:
+            t = tokens(x)
+            one.update(t)
+            two.update(zip([None, *t[:-1]], t, strict=True))
+    n, v = sum(one.values()), len(one)
+    value = lambda c: 0.0 if not c else 1.0 if c == 1 else 1.5 * 2 ** math.floor(math.log2(c)) - 0.5
+    out = []
+    for i, x in rows:
+        t, score = tokens(x), 0.0
+        for a, b in zip([None, *t[:-1]], t, strict=True):
+            context = value(one[a])
+            score += math.log10(min(1.0, (min(value(two[a, b]), context) + lm_score.PRIOR * (value(one[b]) + 1) / (n + v + 1)) / (context + lm_score.PRIOR)))
+        out.append((i, round(score, 6)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [lm_score.BROADCAST_BYTES, 0])
+def test_score_equals_brute_force(spark, most):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, 0.5, "x", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, round(r.score, 6)) for r in lm_score.lm_scores(docs, broadcast_bytes=most, entry_bits=2048).collect()), key=str)  # hardly an absent n-gram seems to be there
+    want = brute_model(rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert sum(abs(a[1] - b[1]) > 1e-5 for a, b in zip(got, want, strict=True)) <= 2
+
+
+def test_counts_above_32_bits(spark):
+    """Sums of a shard that is compacted again and again keep their size."""
+    keys = np.array([2, 4], np.uint64)
+    blocks = [(keys, np.array([2**32 - 1, 1], np.uint32))] * 3
+    k, c = lm_score.summed(np.concatenate([x for x, _ in blocks]), np.concatenate([x for _, x in blocks]).astype(np.int64))
+    assert k.tolist() == [2, 4] and c.tolist() == [3 * (2**32 - 1), 3]
+    rows = corpus()
+    got = lm_score.lm_scores(spark.createDataFrame([(i, t, 0.5, "x", 1) for i, t in rows], SCHEMA), compact_bytes=0).collect()
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == brute(rows)

@@ -148,3 +148,48 @@ def test_exact_groups(spark, digest):
     if digest:
         assert {r.text_sha256 for r in got if r.doc_id == 4} == {hashlib.sha256("É".encode()).hexdigest()}
     assert exact_dedup.exact_groups(docs.limit(0), digest=digest).count() == 0
+
+
+def test_bpe_splits_newer_characters_as_the_library(spark, library):
+    """Characters that the library's tables don't know as letters, before contractions."""
+    rng = random.Random(8)
+    odd = [chr(c) for c in (0x558, 0x58C, 0x88F, 0xC5C, 0xA7CE, 0x187FC, 0x3D887, 0x1E030, 0x10D4A, 0x1F9FF, 0x1FAE8)] + ["a", "1", "'s", "'d", " ", "."]
+    texts = ["֌'d", *("".join(rng.choices(odd, k=12)) for _ in range(400))]
+    t, own = library("byte_bpe_50k.json"), bpe.vocabulary(bpe.default_path())
+    assert all(own.encode(x)[0].tolist() == t.encode(x, add_special_tokens=False).ids for x in texts)
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    import time
+
+    hits = 40_000
+    text = "é " + " ".join(["0123456789abcdef01234567"] * hits) + " token=abcdefgh"
+    began = time.monotonic()
+    (row,) = secrets.secret_scan(frame(spark, [text]))[0].collect()
+    assert len(row.spans) == hits + 1 and time.monotonic() - began < 20
+    assert all((s.start, s.end) == (2 + 25 * k, 26 + 25 * k) for k, s in enumerate(row.spans[:-1])) and row.spans[-1].kind == "assign"
+
+
+def test_lasting_ledger(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    docs = frame(spark, ["token=abcdefgh", "nothing here", "token=abcdefgh"])
+    assert sorted(r.spans for r in secrets.digests(secrets.scan_with_ledger(docs, path)).collect()) == ["", "assign:0:14", "assign:0:14"]
+    seen = []
+    scan = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs: seen.append(sorted(r.text for r in blobs.collect())) or scan(blobs))
+    more = docs.unionByName(frame(spark, ["secret: zyxwvuts"], first=10))
+    assert sorted(r.spans for r in secrets.digests(secrets.scan_with_ledger(more, path)).collect()) == ["", "assign:0:14", "assign:0:14", "assign:0:16"]
+    assert seen == [["secret: zyxwvuts"]] and spark.read.parquet(path).count() == 3
+    secrets.scan_with_ledger(more, path)
+    assert seen[1:] == [[]]
+    monkeypatch.setattr(secrets, "RULE_VERSION", "2")
+    secrets.scan_with_ledger(more, path)
+    assert len(seen[2]) == 3 and spark.read.parquet(path).count() == 6
+
+
+def test_exact_groups_with_hot_keys(spark):
+    texts = ["Same text"] * 3000 + ["same texT"] * 10 + ["other %d" % (k % 1500) for k in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(docs, digest=True).collect()}
+    assert len(got) == len(texts) and all(got[k].keep_id == 3009 and got[k].group_size == 3010 and got[k].kept == (k == 3009) for k in range(3010))
+    assert all(got[3010 + k].keep_id == 3010 + 1500 + k % 1500 and got[3010 + k].group_size == 2 for k in range(3000))
