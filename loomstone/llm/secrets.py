@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import id_and_text
 from loomstone.plans.session import written
+from loomstone.plans.skew import hot_join
 
 #: Kinds in their order. The first three are the base; of a match of ``assign`` group 2 must have 6 characters, so
 #: that rule is held against its group; the others state their least length in the pattern.
@@ -87,9 +88,14 @@ def addressed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_paths(paths: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Findings of the ledger, under the present rules, joined back to all rows that have the blob."""
+    """Findings of the ledger, under the present rules, joined back to all rows that have the blob; those of a blob that very many rows
+    have are broadcast to them."""
+    paths = written(paths, "secret-paths")
+    copies = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
     of_version = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
-    return paths.join(of_version.hint("merge"), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(of_version.schema["spans"].dataType)).alias("spans"))
+    found = written(of_version.join(copies.hint("merge"), "blob"), "secret-found")
+    joined = hot_join(paths, found, ["blob"], "copies", paths.count(), "left")
+    return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(of_version.schema["spans"].dataType)).alias("spans"))
 
 
 def scan_with_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
