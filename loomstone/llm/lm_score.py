@@ -91,11 +91,14 @@ def by_shard(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return list(zip(found.tolist(), starts.tolist(), [*starts.tolist()[1:], len(keys)], strict=True))
 
 
-def probes(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+def first_and_step(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the places of a key's probes on a level start from, and how far apart they are."""
     first = mix(keys + np.array([level], np.uint64) * STEP)
-    second = mix(first) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((first + np.uint64(i) * second) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
+    return first, mix(first) | np.uint64(1)
+
+
+def place(first: np.ndarray, step: np.ndarray, probe: int, size: int) -> np.ndarray:
+    return ((first + np.uint64(probe) * step) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
 
 def filter_of(keys: np.ndarray, counts: np.ndarray, entry_bits: int = BITS) -> bytes:
@@ -104,8 +107,9 @@ def filter_of(keys: np.ndarray, counts: np.ndarray, entry_bits: int = BITS) -> b
     size = min(max(64, entries * entry_bits + 7 & ~7), 1 << 31)
     flags = np.zeros(size, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
-        for at in probes(keys[level >= j], j, size):
-            flags[at.astype(np.int64)] = True
+        first, step = first_and_step(keys[level >= j], j)
+        for i in range(PROBES):
+            flags[place(first, step, i, size).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
 
 
@@ -114,20 +118,15 @@ def levels_in(filter_bytes: bytes, keys: np.ndarray) -> np.ndarray:
     bits = np.frombuffer(filter_bytes, np.uint8)
     out, alive = np.zeros(len(keys), np.uint8), np.arange(len(keys))
     for j in range(1, LEVELS):
-        for at in probes(keys[alive], j, 8 * len(bits)):
-            pass_ = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            if not pass_.all():
-                break
-        else:
-            out[alive] = j
-            continue
-        ok = np.ones(len(alive), bool)
-        for at in probes(keys[alive], j, 8 * len(bits)):
-            ok &= ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-        alive = alive[ok]
-        out[alive] = j
+        first, step = first_and_step(keys[alive], j)
+        for i in range(PROBES):
+            at = place(first, step, i, 8 * len(bits))
+            there = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            if not there.all():
+                alive, first, step = alive[there], first[there], step[there]
         if not len(alive):
             break
+        out[alive] = j
     return out
 
 
