@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def doc_key(source: Column, doc_id: Column) -> Column:
-    return F.sha2(F.concat_ws("|", source, doc_id.cast("string")), 256)
+    """A key of source and id, which are parted by a character that is in neither; a null is none of the texts."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("\x01"))
+    return F.sha2(F.concat(part(source), F.lit("\x00"), part(doc_id)), 256)
 
 
 def split_key(*parts: Column | str, salt: str = "") -> Column:
@@ -39,3 +41,11 @@ def selection_priority(length: Column, badness: Column, mojibake: Column, needs_
         F.coalesce(mojibake, unknown).alias("mojibake"), (1.0 - flag_rank(ocr_success)).alias("ocr"),
         (F.coalesce(title, F.lit("")) == "").cast("int").alias("title"), (F.coalesce(author, F.lit("")) == "").cast("int").alias("author"), source.alias("source"), doc_id.alias("doc_id"),
     )
+
+
+def projected_mask(mask: Column, layer: dict[int, int]) -> Column:
+    """The bits of the layer above: each stands if any of its bits below (the key) does."""
+    out = F.lit(0).cast("long")
+    for below, above in layer.items():
+        out = out.bitwiseOR(F.when(mask.bitwiseAND(F.lit(below)) != 0, F.lit(above)).otherwise(F.lit(0)).cast("long"))
+    return out

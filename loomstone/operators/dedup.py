@@ -54,3 +54,11 @@ def families(exact: DataFrame, keeper: str, source: str = "source_dataset") -> D
     pool = F.when(n > 1, F.concat(F.lit("shared:"), F.array_join(F.array_sort("__sources"), "+"))).otherwise(F.concat(F.lit("unique:"), F.get("__sources", F.lit(0))))
     groups = groups.select(keeper, F.md5(keeper).alias("family_id"), "family_size", n.cast("long").alias("family_source_count"), (n > 1).alias("mixed_source"), pool.alias("pool"))
     return exact.join(groups, keeper)
+
+
+def decisions(exact: DataFrame, near: DataFrame, key: str = "doc_key") -> DataFrame:
+    """key, kept, stage, cluster_id, similarity: what becomes of every document, after the strict, relaxed and near stages. ``near``: what
+    minhash.with_singletons gives over the survivors of the exact stages."""
+    final = final_keeper(exact, near.select(key, F.col("representative").alias("near_keeper")), key)
+    own = near.select(key, "cluster_id", "similarity")
+    return final.join(own, key, "left").select(key, F.col("final_keeper").alias("kept"), "stage", "cluster_id", "similarity")

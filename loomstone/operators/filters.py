@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import sub
+
 #: Least badness that each quality preset rejects.
 PRESETS = {"modern_strict": 25.0, "modern_relaxed": 30.0, "historical_tolerant": 35.0}
 
@@ -73,7 +75,7 @@ def standard_training(columns: list[str], *, badness_lt: float = 60.0, mojibake_
 
 def publishable(text: Column, badness: Column, below: float = 25.0) -> Column:
     """Non-empty text and a known badness below the bound."""
-    return true((F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "") != "") & (badness < below))
+    return true((sub(F.coalesce(text, F.lit("")), r"\s+", "") != "") & (badness < below))
 
 
 def badness_bucket(badness: Column) -> Column:
@@ -82,3 +84,14 @@ def badness_bucket(badness: Column) -> Column:
 
 def needs_rescoring(badness: Column, method: Column, latest: str) -> Column:
     return badness.isNull() | ~true(method == latest)
+
+
+def experiment(source: Column, excluded: list[str], badness: Column, mojibake: Column | None, needs_ocr: Column | None = None, ocr_success: Column | None = None, badness_lt: float = 60.0, mojibake_lte: float = 0.1) -> Column:
+    """Rows of an experiment: a known badness below the bound, no excluded source, mojibake unknown or low, no failed OCR."""
+    clean = None if needs_ocr is None else ~true(needs_ocr) | (true(ocr_success) if ocr_success is not None else F.lit(False))
+    return true(all_of(badness < badness_lt, ~source.isin(*excluded) if excluded else None, mojibake.isNull() | (mojibake <= mojibake_lte) if mojibake is not None else None, clean))
+
+
+def web_crawl(quality: Column, register: Column, verdict: Column, text: Column, badness: Column, least_quality: int = 8, excluded_register: str = "MT", wanted: str = "keep", badness_max: float = 60.0) -> Column:
+    """Pages of a crawl: a quality bin that is high enough, no machine translations, the wanted verdict, some text, badness unknown or low."""
+    return all_of(true(quality >= least_quality), ~true(register == excluded_register), true(verdict == wanted), sub(F.coalesce(text, F.lit("")), r"\s+", "") != "", badness.isNull() | (badness <= badness_max))

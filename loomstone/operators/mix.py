@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.operators.selection import char_budget
+from loomstone.plans.prefix_sum import nearest_prefix
 
 
 def check_entries(entries: list[dict]) -> list[dict]:
@@ -64,12 +64,17 @@ def apply_mix(docs: DataFrame, entries: list[dict], chars: str, order: list[str]
             raise ValueError(f"entry {e['name']!r} overlaps an entry before it")
         seen |= set(chosen[e["name"]])
     available = {name: sum(sums[s][0] or 0 for s in of) for name, of in chosen.items()}
-    asked, out = solve(entries, available), None
+    asked = solve(entries, available)
+    # Components and targets of the sources, then one ordered prefix for each component.
+    component = target = F.lit(None)
     for e in entries:
-        part = docs.where(F.col(source).isin(*chosen[e["name"]])) if None not in chosen[e["name"]] else docs.where(F.col(source).isin(*[s for s in chosen[e["name"]] if s]) | F.col(source).isNull())
-        target = math.floor(asked[e["name"]] + 1e-9)
-        if e["fraction"] < 1 and target < available[e["name"]]:
-            part = char_budget(part, chars, order, target)
-        part = part.withColumn("component", F.lit(e["name"]))
-        out = part if out is None else out.unionByName(part)
-    return out
+        asks = math.floor(asked[e["name"]] + 1e-9)
+        whole = e["fraction"] >= 1 or asks >= available[e["name"]]
+        named = [x for x in chosen[e["name"]] if x is not None]
+        mine = F.coalesce(F.col(source).isin(*named), F.lit(False)) if named else F.lit(False)
+        mine = mine | F.col(source).isNull() if None in chosen[e["name"]] else mine
+        component = F.when(mine, F.lit(e["name"])).otherwise(component)
+        target = F.when(mine, F.lit(None if whole else asks).cast("long")).otherwise(target)
+    marked = docs.withColumns({"component": component, "__target": target}).where("component is not null")
+    taken = nearest_prefix(marked.where("__target > 0"), chars, order, F.col("__target"), ["component"])
+    return marked.where("__target is null").unionByName(taken).drop("__target")

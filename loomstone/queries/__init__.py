@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from loomstone.functions.text import spelled
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,11 +16,11 @@ def query(sql: str | None = None):
     def register(fn: Callable) -> Callable:
         QUERIES[fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = sql.strip()
+            ORACLES[fn.__name__] = spelled(sql.strip())
         return fn
 
     return register
 
 
 def load() -> None:
-    from loomstone.queries import aggregates, dedup, rules, scalars, selection, tokens  # noqa: F401
+    from loomstone.queries import aggregates, corpus, dedup, rules, scalars, selection, tokens  # noqa: F401

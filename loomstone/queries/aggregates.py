@@ -48,13 +48,13 @@ def benchmark_contamination(spark, sf):
     Items have at least six words, so these four have white space around them wherever the item stands.
     """
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    items = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("b")).withColumn("v", F.split("b", r"\s+")).where(F.size("v") >= 6)
+    items = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("b")).withColumn("v", F.split("b", T.spelled(r"\s+"))).where(F.size("v") >= 6)
     items = items.select("item_id", "b", F.xxhash64(F.array_join(F.slice("v", 2, 4), " ")).alias("head"))
 
     def runs(words):  # the words are a lambda's variable: parted once for each text, not once for each run
         return F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(4)), " "))))
 
-    windows = docs.select("doc_id", F.explode(F.array_distinct(F.get(F.transform(F.array(F.split("t", r"\s+")), runs), F.lit(0)))).alias("head"))
+    windows = docs.select("doc_id", F.explode(F.array_distinct(F.get(F.transform(F.array(F.split("t", T.spelled(r"\s+"))), runs), F.lit(0)))).alias("head"))
     found = windows.join(items, "head").select("doc_id", "item_id", "b")
     return found.join(docs.select("doc_id", "t"), "doc_id").where(F.contains("t", F.col("b"))).select("doc_id", "item_id").distinct()
 

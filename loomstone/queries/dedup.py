@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import ids
 from loomstone.functions import normalize
-from loomstone.functions import text as T
 from loomstone.operators import dedup as D
 from loomstone.operators import minhash, replay
 from loomstone.operators.selection import top_per_group
-from loomstone.plans.session import written
+from loomstone.plans.session import partitions_for, table, written
 from loomstone.queries import query
 from loomstone.queries.tables import CANON, RELAXED, STRICT, canon
 
@@ -29,8 +28,9 @@ def priority():
 
 
 def hashed(spark, sf):
-    docs = canon(spark, sf)
-    return docs.withColumns({"sh": F.md5(T.strict_ascii(F.col("text"))), "rh": F.md5(T.relaxed_sql(F.col("text")))}).drop("text")
+    """Narrow rows with the hashes of both forms, written once, as every stage reads them."""
+    docs = canon(spark, sf).withColumn("f", normalize.exact_hashes("text"))
+    return written(docs.withColumns({"sh": F.col("f.strict_md5"), "rh": F.col("f.relaxed_md5")}).drop("text", "f"), "exact-hashes")
 
 
 def stages(spark, sf):
@@ -109,6 +109,28 @@ def drop_action_mix(spark, sf):
     return replay.apply_action(replay.quality_first(D.families(final(spark, sf), "final_keeper"), priority()), "drop_intra_and_inter").select("doc_id")
 
 
+@query(f"WITH {FAMILY} SELECT doc_id FROM (SELECT doc_id, doc_key, first_value(doc_key) OVER (PARTITION BY family_id, source_dataset ORDER BY {ORDER}) AS representative FROM m) WHERE doc_key = representative")
+def drop_intra_mix(spark, sf):
+    """Copies within a source go, those in different sources stay."""
+    return replay.apply_action(D.families(final(spark, sf), "final_keeper"), "drop_intra", priority=priority()).select("doc_id")
+
+
+@query(f"WITH {FAMILY}, k AS (SELECT * FROM m WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND badness < 12), w AS (SELECT *, first_value(doc_key) OVER (PARTITION BY family_id, source_dataset ORDER BY {ORDER}) AS representative FROM k) SELECT doc_id FROM w WHERE doc_key = representative")
+def selected_input(spark, sf):
+    """The filter, the drop list, and drop_intra of what is left."""
+    docs = written(D.families(final(spark, sf), "final_keeper"), "selected-members")
+    dropped = docs.join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    return replay.selected_input(docs, F.col("badness") < 12, dropped, "drop_intra", docs.where("family_size > 1"), priority()).select("doc_id")
+
+
+@query(f"WITH RECURSIVE {FAMILY}, e AS (SELECT DISTINCT sh AS h, 's' AS kind, doc_id FROM m UNION SELECT rh, 'r', doc_id FROM m), leasts AS (SELECT h, kind, min(doc_id) AS v FROM e GROUP BY h, kind), b AS (SELECT e.doc_id AS u, leasts.v AS v FROM e JOIN leasts ON e.h = leasts.h AND e.kind = leasts.kind WHERE e.doc_id <> leasts.v), y AS (SELECT u, v FROM b UNION SELECT v, u FROM b), c AS (SELECT doc_id AS node, doc_id AS seen FROM m UNION SELECT c.node, y.v FROM c JOIN y ON c.seen = y.u) SELECT node AS doc_id, min(seen) AS family FROM c GROUP BY node")
+def families_by_union(spark, sf):
+    """Families from strict and relaxed hashes of all rows."""
+    rows = hashed(spark, sf).select("doc_id", "source_dataset", "sh", "rh")
+    none = spark.createDataFrame([], "left_key long, right_key long, estimated_jaccard double")
+    return replay.families_of(rows, ["sh", "rh"], none, replay.threshold(0.85)[1], key="doc_id")
+
+
 @query()
 def share_aware_representatives(spark, sf):
     """Sequential by its rule; tests hold it against golden cases."""
@@ -116,11 +138,11 @@ def share_aware_representatives(spark, sf):
     return replay.share_aware(members).select("doc_id", "pool", "representative")
 
 
-@query(f"""WITH {CANON}, k AS (SELECT *, CASE WHEN source_dataset IN ('src0', 'src1', 'src2') THEN source_dataset || '|' || lower(substr(text, 1, 40)) END AS key FROM canon),
+@query(f"""WITH {CANON}, k AS (SELECT *, CASE WHEN source_dataset IN ('src0', 'src1', 'src2') THEN source_dataset || '|' || lower(string_split(text, chr(10))[1]) END AS key FROM canon),
 o AS (SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN needs_ocr THEN 1.0 WHEN NOT needs_ocr THEN 0.0 ELSE 0.5 END, coalesce(badness, 'infinity'::DOUBLE), -chars, source_doc_id) AS rn FROM k)
 SELECT doc_id FROM o WHERE key IS NULL OR rn = 1""")
 def metadata_exact_dedup(spark, sf):
-    docs = canon(spark, sf).withColumn("head", F.lower(F.substring("text", 1, 40))).drop("text")
+    docs = canon(spark, sf).withColumn("head", F.lower(F.substring_index("text", "\n", 1))).drop("text")
     key = F.when(F.col("source_dataset").isin("src0", "src1", "src2"), F.concat_ws("|", "source_dataset", "head"))
     prio = F.struct(ids.flag_rank(F.col("needs_ocr")), F.coalesce("badness", F.lit(float("inf"))), -F.col("chars"), "source_doc_id")
     return D.metadata_dedup(docs, key, prio).select("doc_id")
@@ -147,54 +169,105 @@ def unicode_normal_forms(spark, sf):
     return forms.select("doc_id", *(F.md5(c).alias(n) for c, n in (("s", "strict_md5"), ("r", "relaxed_md5"), ("g", "stripped_md5"), ("n", "near_md5"))))
 
 
-def near_pairs(spark, sf):
-    """The near stage sees the survivors of the exact stages, so equal texts make no pairs."""
+def near_input(spark, sf, planted):
+    """Survivors of the exact stages (equal texts make no pairs); with ``planted`` also a copy of each without its last word, so that there
+    is something to find at every size."""
     survivors = stages(spark, sf).where("kept_after_exact").select("doc_id")
-    docs = canon(spark, sf).select("doc_id", "text").join(survivors, "doc_id", "left_semi")
-    sigs = written(minhash.signatures(docs, "doc_id"), "minhash-signatures")
-    return written(minhash.candidate_pairs(sigs, key="doc_id"), "minhash-pairs")
+    docs = canon(spark, sf).drop("doc_key", "lang").join(survivors, "doc_id", "left_semi")
+    if planted:
+        copies = docs.withColumns({"text": F.regexp_replace("text", r"\s*\S+\s*$", ""), "doc_id": F.col("doc_id") + PLANTED})
+        docs = docs.unionByName(copies.withColumn("source_doc_id", F.col("doc_id").cast("string")))
+    return written(docs, "near-input")
+
+
+#: Ids of planted copies begin here.
+PLANTED = 1_000_000_000
+
+
+def near_stage(spark, sf, planted=True):
+    """Documents, signatures and pairs, each written once."""
+    docs = near_input(spark, sf, planted)
+    sigs = minhash.signatures(docs.repartition(partitions_for(docs, 1 << 20, spark.sparkContext.defaultParallelism)), "doc_id")
+    sigs = written(sigs, "minhash-signatures")
+    return docs, sigs, written(minhash.candidate_pairs(sigs, key="doc_id"), "minhash-pairs")
 
 
 @query()
 def minhash_candidate_pairs(spark, sf):
-    return near_pairs(spark, sf)
+    return near_stage(spark, sf, False)[2]
 
 
 @query()
 def near_components(spark, sf):
     from loomstone.operators.components import connected_components
 
-    return connected_components(near_pairs(spark, sf), "left_key", "right_key").withColumnRenamed("node", "doc_id")
+    return connected_components(near_stage(spark, sf)[2], "left_key", "right_key").withColumnRenamed("node", "doc_id")
 
 
-def near_clusters_of(spark, sf, pairs):
-    ranks = canon(spark, sf).select("doc_id", (-ids.representative_score(F.col("chars"), F.col("badness"))).alias("rank"))
-    return minhash.clusters(pairs, ranks, key="doc_id")
+def resolved(spark, sf):
+    """Documents, and what the near stage says of each of them."""
+    docs, sigs, pairs = near_stage(spark, sf)
+    order = priority()
+    head = F.to_json(F.struct(*(order.getField(f) for f in ("invalid", "needs_ocr", "score", "badness", "mojibake", "ocr", "title"))))
+    ranks = docs.select("doc_id", order.alias("rank"), head.alias("rank_head"))
+    found = minhash.clusters(pairs, ranks, key="doc_id", sigs=sigs)
+    return docs, written(minhash.with_singletons(found, docs, "doc_id"), "near-decided")
 
 
 @query()
 def near_clusters(spark, sf):
-    return near_clusters_of(spark, sf, near_pairs(spark, sf)).select("doc_id", "representative", "similarity", F.md5(F.col("representative").cast("string")).alias("cluster_id"))
+    return resolved(spark, sf)[1].select("doc_id", "representative", "similarity", "cluster_id", "cluster_size", "component_size", "large_component", "narrow_margin", "reason")
 
 
 @query()
 def near_cluster_summary(spark, sf):
-    c = near_clusters_of(spark, sf, near_pairs(spark, sf)).join(canon(spark, sf).select("doc_id", "source_dataset"), "doc_id")
-    return c.groupBy("representative").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("doc_id") != F.col("representative")).alias("dropped"), (F.count_distinct("source_dataset") > 1).alias("mixed_source"), F.min("similarity").alias("least"))
+    docs, found = resolved(spark, sf)
+    c = found.join(docs.select("doc_id", "source_dataset"), "doc_id")
+    return c.groupBy("cluster_id", "representative").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("doc_id") != F.col("representative")).alias("dropped"), (F.count_distinct("source_dataset") > 1).alias("mixed_source"), F.min("similarity").alias("least"))
+
+
+@query()
+def near_drop_list(spark, sf):
+    return minhash.drop_list(resolved(spark, sf)[1], "doc_id")
+
+
+@query()
+def full_decisions(spark, sf):
+    """Every document (copies of the near stage too) with the document that stays for it and the stage that dropped it."""
+    docs, near = resolved(spark, sf)
+    exact = stages(spark, sf).select(F.col("doc_id"), F.col("strict_keeper"), "strict_kept", "relaxed_keeper", "doc_key")
+    keys = written(exact.select("doc_key", F.col("doc_id").alias("id")), "decision-keys")
+    of = lambda name: keys.select(F.col("doc_key").alias(name), F.col("id").alias(f"{name}_id"))
+    exact = exact.join(of("strict_keeper"), "strict_keeper").join(of("relaxed_keeper"), "relaxed_keeper", "left")
+    exact = exact.select("doc_id", F.col("strict_keeper_id").alias("strict_keeper"), "strict_kept", F.col("relaxed_keeper_id").alias("relaxed_keeper"))
+    made = docs.where(F.col("doc_id") >= PLANTED).select("doc_id", F.col("doc_id").alias("strict_keeper"), F.lit(True).alias("strict_kept"), F.col("doc_id").alias("relaxed_keeper"))
+    return D.decisions(written(exact.unionByName(made), "decision-exact"), near, "doc_id")
 
 
 @query()
 def near_doc_stats(spark, sf):
-    pairs = near_pairs(spark, sf).select("left_key", "right_key", "estimated_jaccard")
+    """Of each document with pairs: how many, how many within and across sources, and the best."""
+    docs, _, pairs = near_stage(spark, sf)
+    pairs = pairs.select("left_key", "right_key", "estimated_jaccard")
     both = pairs.unionByName(pairs.select(F.col("right_key").alias("left_key"), F.col("left_key").alias("right_key"), "estimated_jaccard"))
+    source = lambda name: docs.select(F.col("doc_id").alias(f"{name}_key"), F.col("source_dataset").alias(f"{name}_source"))
+    both = both.join(source("left"), "left_key").join(source("right"), "right_key").withColumn("same", F.col("left_source").eqNullSafe(F.col("right_source")))
     best = F.min_by("right_key", F.struct(-F.col("estimated_jaccard"), "right_key"))
-    return both.groupBy(F.col("left_key").alias("doc_id")).agg(F.count(F.lit(1)).alias("matches"), best.alias("best_match"), F.max("estimated_jaccard").alias("best_jaccard"))
+    return both.groupBy(F.col("left_key").alias("doc_id")).agg(F.count(F.lit(1)).alias("matches"), F.count_if("same").alias("same_source"), F.count_if(~F.col("same")).alias("cross_source"), best.alias("best_match"), F.max("estimated_jaccard").alias("best_jaccard"))
+
+
+@query()
+def near_pairs_enriched(spark, sf):
+    """Pairs with what is known of both documents."""
+    docs, _, pairs = near_stage(spark, sf)
+    of = lambda name: docs.select(F.col("doc_id").alias(f"{name}_key"), F.col("source_dataset").alias(f"{name}_source"), F.col("chars").alias(f"{name}_chars"), F.col("badness").alias(f"{name}_badness"))
+    return pairs.join(of("left"), "left_key").join(of("right"), "right_key")
 
 
 @query()
 def edge_audit_sample(spark, sf):
     """Pairs near the threshold, with unlike lengths, or with containment, in the order of a hash."""
-    pairs = near_pairs(spark, sf)
+    pairs = near_stage(spark, sf)[2]
     why = F.when(F.abs(F.col("estimated_jaccard") - minhash.THRESHOLD) <= 0.02, "near_threshold").when(F.col("length_ratio") < 0.8, "length_ratio").when(F.col("containment"), "containment")
     rows = pairs.withColumns({"reason": why, "p": F.md5(F.concat_ws("|", F.col("left_key").cast("string"), F.col("right_key").cast("string")))}).where("reason is not null")
     return top_per_group(rows, ["reason"], ["p"], 256).drop("p")

@@ -120,12 +120,12 @@ def incremental_reuse(spark, sf):
     return digest(docs).join(before, "source", "left").select("source", "n", F.when(F.col("old").isNull(), "new").when(same, "reuse").otherwise("redo").alias("state"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, source, md5(text) AS h, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 200)), '[\p{L}\p{M}\p{N}]+'), lambda x: length(x) >= 4)) AS ws FROM documents), g AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+@query(r"""WITH p AS (SELECT doc_id, source, md5(text) AS h, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda x: length(x) >= 4)) AS ws FROM documents), g AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
 f AS (SELECT p.* FROM p JOIN g ON p.h = g.h), k AS (SELECT h, arg_min(doc_id, doc_id) AS first_doc FROM f GROUP BY h)
 SELECT f.doc_id AS doc_id, k.first_doc AS first_doc, f.doc_id = k.first_doc AS is_best, CAST(len(ws) AS BIGINT) AS words FROM f JOIN k ON f.h = k.h""")
 def group_audit(spark, sf):
     """Members of groups of equal texts with the best candidate of each and the words that mark them."""
-    marked = F.array_distinct(F.filter(T.word_tokens(F.lower(F.substring("text", 1, 200))), lambda x: F.length(x) >= 4))
+    marked = F.array_distinct(F.filter(T.word_tokens(F.lower("text")), lambda x: F.length(x) >= 4))
     rows = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"), F.size(marked).cast("long").alias("words"))
     groups = rows.groupBy("h").agg(count().alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
     return rows.join(groups, "h").select("doc_id", "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("is_best"), "words")

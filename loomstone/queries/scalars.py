@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstone.functions import ids
+from loomstone.functions import ids, normalize
 from loomstone.functions import text as T
 from loomstone.operators import filters
 from loomstone.plans.session import table
@@ -14,14 +14,12 @@ from loomstone.queries.tables import CANON, RELAXED, STRICT, canon
 
 @query(rf"""SELECT doc_id, md5({STRICT.format("text")}) AS strict_md5, length({STRICT.format("text")}) AS strict_chars FROM documents""")
 def strict_norm_stats(spark, sf):
-    strict = T.strict_ascii(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(strict).alias("strict_md5"), F.length(strict).cast("long").alias("strict_chars"))
+    return table(spark, sf, "documents").select("doc_id", normalize.exact_hashes("text").alias("f")).select("doc_id", "f.strict_md5", "f.strict_chars")
 
 
 @query(rf"""SELECT doc_id, md5({RELAXED.format("text")}) AS relaxed_md5, length({RELAXED.format("text")}) AS relaxed_chars FROM documents""")
 def relaxed_norm_stats(spark, sf):
-    relaxed = T.relaxed_sql(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(relaxed).alias("relaxed_md5"), F.length(relaxed).cast("long").alias("relaxed_chars"))
+    return table(spark, sf, "documents").select("doc_id", normalize.exact_hashes("text").alias("f")).select("doc_id", "f.relaxed_md5", "f.relaxed_chars")
 
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS BIGINT) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS fast_tokens FROM documents""")
@@ -206,7 +204,7 @@ def metadata_key_counts(spark, sf):
     return table(spark, sf, "events").select("event_type", keys).groupBy("event_type", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, md5(source || ':' || CAST(doc_id AS VARCHAR) || ':' || 'salt-1') AS split_key, md5('chunk::' || source || '::' || CAST(doc_id AS VARCHAR)) AS chunk_key, sha256(source || '|' || CAST(doc_id AS VARCHAR)) AS doc_key FROM documents""")
+@query("""SELECT doc_id, md5(source || ':' || CAST(doc_id AS VARCHAR) || ':' || 'salt-1') AS split_key, md5('chunk::' || source || '::' || CAST(doc_id AS VARCHAR)) AS chunk_key, sha256(coalesce(source, chr(1)) || chr(0) || coalesce(CAST(doc_id AS VARCHAR), chr(1))) AS doc_key FROM documents""")
 def stable_keys(spark, sf):
     chunk = F.md5(F.concat_ws("::", F.lit("chunk"), "source", F.col("doc_id").cast("string")))
     return table(spark, sf, "documents").select("doc_id", ids.split_key(F.col("source"), F.col("doc_id"), salt="salt-1").alias("split_key"), chunk.alias("chunk_key"), ids.doc_key(F.col("source"), F.col("doc_id")).alias("doc_key"))

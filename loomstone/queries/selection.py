@@ -47,7 +47,12 @@ def thresholded_allocation(spark, sf):
     return S.thresholded_quotas(tokens(spark, sf), "tokens", "lang", 120_000, 0.12)
 
 
-@query()
+@query(f"""WITH {TOKENS}, g AS (SELECT lang, CAST(sum(tokens) AS BIGINT) AS group_tokens FROM t GROUP BY lang), s AS (SELECT *, group_tokens / (SELECT sum(group_tokens) FROM g) <= 0.12 AS small FROM g),
+b AS (SELECT *, greatest(0, 120000 - coalesce(sum(group_tokens) OVER (PARTITION BY small ORDER BY group_tokens, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM s),
+q AS (SELECT *, CASE WHEN small THEN least(room, group_tokens) ELSE 0 END AS taken FROM b),
+z AS (SELECT lang, CAST(CASE WHEN small THEN taken ELSE floor((120000 - (SELECT sum(taken) FROM q)) * (group_tokens / (SELECT CAST(sum(group_tokens) AS DOUBLE) FROM q WHERE NOT small))) END AS BIGINT) AS quota FROM q),
+w AS (SELECT t.*, sum(tokens) OVER (PARTITION BY lang ORDER BY tokens DESC, source, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS before FROM t)
+SELECT doc_id, w.lang AS lang, tokens FROM w JOIN z ON w.lang = z.lang WHERE before < quota""")
 def thresholded_selection(spark, sf):
     """The documents that the quotas take."""
     docs = tokens(spark, sf)
@@ -67,10 +72,9 @@ GROUPED = f"WITH {CANON}, r AS (SELECT *, CAST(sum(chars) OVER (PARTITION BY lan
 def grouped_splits(spark, sf):
     docs = canon(spark, sf).select("doc_id", "doc_key", "lang", "chars", "source_dataset")
     totals = docs.groupBy("lang").agg(F.sum("chars").alias("total"))
-    run = F.sum("chars").over(Window.partitionBy("lang").orderBy("doc_key").rowsBetween(Window.unboundedPreceding, 0))
     before = F.col("run") - F.col("chars")
     split = F.when(before < F.col("total") / 100.0 * 5, "val").when(before < F.col("total") / 100.0 * 15, "test").otherwise("train")
-    return docs.withColumn("run", run).join(totals, "lang").withColumn("split", split)
+    return running_sum(docs, "chars", ["doc_key"], "run", ["lang"]).join(totals, "lang").withColumn("split", split)
 
 
 @query(GROUPED + " SELECT doc_id, lang, split FROM a")
@@ -124,7 +128,7 @@ def bernoulli_sample(spark, sf):
     return table(spark, sf, "documents").select("doc_id").where(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("s"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("long") < 429_496_729)
 
 
-@query(RUN + " SELECT doc_id, CAST(floor((run - chars) / 200000.0) AS BIGINT) AS shard FROM r")
+@query(f"WITH RECURSIVE {CANON}, o AS (SELECT doc_id, chars, row_number() OVER (ORDER BY doc_key) AS rn FROM canon), c AS (SELECT rn, doc_id, CAST(0 AS BIGINT) AS shard, CAST(chars AS BIGINT) AS held FROM o WHERE rn = 1 UNION ALL SELECT o.rn, o.doc_id, c.shard + CASE WHEN c.held >= 200000 THEN 1 ELSE 0 END, CASE WHEN c.held >= 200000 THEN 0 ELSE c.held END + o.chars FROM c JOIN o ON o.rn = c.rn + 1) SELECT doc_id, shard FROM c")
 def shard_cut(spark, sf):
     return S.cut_shards(canon(spark, sf).select("doc_id", "doc_key", "chars"), "chars", ["doc_key"], 200_000).select("doc_id", "shard")
 

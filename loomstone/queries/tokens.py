@@ -172,7 +172,7 @@ def line_comparison(spark, sf):
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, round(CAST(length(text) AS DOUBLE) / len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')), 6) AS chars_per_token, round(CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS DOUBLE) / strlen(text), 6) AS tokens_per_byte FROM documents""")
 def fertility(spark, sf):
     tokens = T.token_estimate(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("words"), F.round(F.length("text") / tokens, 6).alias("chars_per_token"), F.round(tokens / F.octet_length("text"), 6).alias("tokens_per_byte"))
+    return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(T.spelled(r"\S+"))).cast("long").alias("words"), F.round(F.length("text") / tokens, 6).alias("chars_per_token"), F.round(tokens / F.octet_length("text"), 6).alias("tokens_per_byte"))
 
 
 @query()

@@ -54,3 +54,8 @@ def head_of_files(df: DataFrame, n: int) -> DataFrame:
 def histogram(df: DataFrame, ids: str, by: str) -> DataFrame:
     """Sparse counts of the ids in an array column: only those that occur."""
     return df.select(by, F.explode(ids).alias("id")).groupBy(by, "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_hash_prefix(df: DataFrame, path: str, key: str, digits: int = 1) -> None:
+    """Folders by the first digits of the md5 of a column; a folder's rows come from all tasks and no task holds a whole folder."""
+    df.withColumn("prefix", F.substring(F.md5(F.col(key).cast("string")), 1, digits)).write.mode("overwrite").partitionBy("prefix").parquet(path)

@@ -35,3 +35,17 @@ def into_cache(stream: DataFrame, cache_path: str, checkpoint: str, key: str):
         new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(cache_path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def snapshot_drift(before: DataFrame, now: DataFrame, key: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """key, state: added, removed, changed or same, of a registered snapshot and the input as it is now."""
+    old, new = before.select(F.col(key), F.col(fingerprint).alias("__old"), F.lit(True).alias("__was")), now.select(F.col(key), F.col(fingerprint).alias("__new"), F.lit(True).alias("__is"))
+    state = F.when(F.col("__was").isNull(), "added").when(F.col("__is").isNull(), "removed").when(~F.col("__old").eqNullSafe(F.col("__new")), "changed").otherwise("same")
+    return old.join(new, key, "full_outer").select(key, state.alias("state"))
+
+
+def check_resumable(before: DataFrame, now: DataFrame, key: str, fingerprint: str = "fingerprint") -> None:
+    """A run can be resumed only on the input that it was registered with."""
+    drift = {r["state"]: r["n"] for r in snapshot_drift(before, now, key, fingerprint).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect() if r["state"] != "same"}
+    if drift:
+        raise ValueError("the input drifted since the run was registered: " + ", ".join(f"{n} {s}" for s, n in sorted(drift.items())))
