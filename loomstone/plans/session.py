@@ -59,5 +59,14 @@ def partitions_for(df: DataFrame, target_bytes: int, least: int = 12) -> int:
     return min(MOST_PARTITIONS, max(least, -(-size // target_bytes)))
 
 
+def spread(df: DataFrame, target_bytes: int = 1 << 20) -> DataFrame:
+    """A small table that lies in fewer files than there are cores is dealt out over the cores, since a file of one row group is one
+    task. What is larger than 128 MB for each core stays as it is read: it has row groups for all, and no shuffle is added."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, size_in_bytes(df)
+    if size >= cores * (128 << 20) or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(1, min(cores, -(-size // target_bytes))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as T
 from loomstone.plans.session import table
 from loomstone.queries import query
-from loomstone.queries.tables import CANON, canon
+from loomstone.queries.tables import CANON, canon, documents
 
 def N():
     return F.count(F.lit(1))
@@ -20,24 +20,24 @@ def pct(part, whole, digits=6):
 
 @query("""SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def attach_labels(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return documents(spark, sf).select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
 
 
 @query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def exclude_doc_keys(spark, sf):
     drop = table(spark, sf, "labels").where("quality = 0").select("doc_id").distinct()
-    return table(spark, sf, "documents").select("doc_id", "source").join(drop, "doc_id", "left_anti")
+    return documents(spark, sf).select("doc_id", "source").join(drop, "doc_id", "left_anti")
 
 
 @query("""SELECT source, count(*) AS excluded, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY source""")
 def excluded_counts(spark, sf):
     drop = table(spark, sf, "labels").where("quality = 0").select("doc_id")
-    return table(spark, sf, "documents").join(drop, "doc_id", "left_semi").groupBy("source").agg(N().alias("excluded"), F.sum(F.length("text")).alias("chars"))
+    return documents(spark, sf).join(drop, "doc_id", "left_semi").groupBy("source").agg(N().alias("excluded"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("""SELECT doc_id FROM documents d WHERE doc_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM documents t WHERE t.doc_id % 10 <> 0 AND md5(t.text) = md5(d.text))""")
 def heldout_antijoin(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
+    docs = documents(spark, sf).select("doc_id", F.md5("text").alias("h"))
     return docs.where("doc_id % 10 = 0").join(docs.where("doc_id % 10 <> 0").select("h"), "h", "left_anti").select("doc_id")
 
 
@@ -47,7 +47,7 @@ def benchmark_contamination(spark, sf):
 
     Items have at least six words, so these four have white space around them wherever the item stands.
     """
-    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    docs = documents(spark, sf).select("doc_id", F.lower("text").alias("t"))
     items = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("b")).withColumn("v", F.split("b", T.spelled(r"\s+"))).where(F.size("v") >= 6)
     items = items.select("item_id", "b", F.xxhash64(F.array_join(F.slice("v", 2, 4), " ")).alias("head"))
 
@@ -70,7 +70,7 @@ def left_chain(spark, sf):
 @query("""WITH s AS (SELECT source, count(*) AS strict_n FROM documents WHERE lang = 'en' GROUP BY source), r AS (SELECT source, count(*) AS relaxed_n FROM documents WHERE lang <> 'en' AND doc_id % 3 = 0 GROUP BY source)
 SELECT coalesce(s.source, r.source) AS source, coalesce(strict_n, 0) AS strict_n, coalesce(relaxed_n, 0) AS relaxed_n FROM s FULL OUTER JOIN r ON s.source = r.source""")
 def cross_source_full_outer(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    docs = documents(spark, sf).select("doc_id", "source", "lang")
     s = docs.where("lang = 'en'").groupBy("source").agg(N().alias("strict_n"))
     r = docs.where("lang <> 'en' and doc_id % 3 = 0").groupBy("source").agg(N().alias("relaxed_n"))
     return s.join(r, "source", "full").na.fill(0, ["strict_n", "relaxed_n"])
@@ -79,7 +79,7 @@ def cross_source_full_outer(spark, sf):
 @query("""WITH h AS (SELECT DISTINCT md5(text) AS h, source FROM documents) SELECT a.source AS source_a, b.source AS source_b, count(*) AS shared_groups FROM h a JOIN h b ON a.h = b.h AND a.source < b.source GROUP BY 1, 2""")
 def source_pair_overlap(spark, sf):
     """Pairs of sources that share a text. Sources of one text are few, so the pairs are made inside one array."""
-    return source_pairs(table(spark, sf, "documents").select(F.md5("text").alias("h"), "source"), False)
+    return source_pairs(documents(spark, sf).select(F.md5("text").alias("h"), "source"), False)
 
 
 def source_pairs(rows, with_self):
@@ -92,7 +92,7 @@ def source_pairs(rows, with_self):
 
 @query("""WITH h AS (SELECT DISTINCT md5(text) AS h, source FROM documents) SELECT a.source AS source_a, b.source AS source_b, count(*) AS shared_groups FROM h a JOIN h b ON a.h = b.h AND a.source <= b.source GROUP BY 1, 2""")
 def source_pair_summary(spark, sf):
-    return source_pairs(table(spark, sf, "documents").select(F.md5("text").alias("h"), "source"), True)
+    return source_pairs(documents(spark, sf).select(F.md5("text").alias("h"), "source"), True)
 
 
 @query("""SELECT o_custkey, string_agg(o_comment, chr(10) || chr(10) ORDER BY o_orderdate, o_orderkey) AS body, count(*) AS sections, arg_min(o_orderstatus, o_orderkey) AS first_status FROM (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, CAST(o_orderkey AS VARCHAR) AS o_comment FROM orders) GROUP BY o_custkey""")
@@ -104,12 +104,12 @@ def section_concat(spark, sf):
 
 @query(r"""SELECT source, count(*) AS rows, CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))) AS BIGINT) AS tokens FROM documents GROUP BY source ORDER BY tokens DESC, source""")
 def mix_summary(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(N().alias("rows"), F.sum(T.token_estimate(F.col("text"))).alias("tokens")).orderBy(F.desc("tokens"), "source")
+    return documents(spark, sf).groupBy("source").agg(N().alias("rows"), F.sum(T.token_estimate(F.col("text"))).alias("tokens")).orderBy(F.desc("tokens"), "source")
 
 
 @query("""SELECT quality, toxic, lang, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY quality, toxic, lang""")
 def pool_summary(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     return docs.groupBy("quality", "toxic", "lang").agg(N().alias("rows"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -129,12 +129,12 @@ def validate_corpus(spark, sf):
 
 @query("""SELECT source, count(*) AS rows, count(DISTINCT lang) AS langs FROM documents GROUP BY source""")
 def row_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(N().alias("rows"), F.count_distinct("lang").alias("langs"))
+    return documents(spark, sf).groupBy("source").agg(N().alias("rows"), F.count_distinct("lang").alias("langs"))
 
 
 @query(r"""SELECT coalesce(source, 'all') AS part, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM documents GROUP BY ROLLUP (source)""")
 def prepare_manifest(spark, sf):
-    docs = table(spark, sf, "documents").select("source", *(T.text_metrics(F.col("text"))[k].alias(k) for k in ("chars", "words")))
+    docs = documents(spark, sf).select("source", *(T.text_metrics(F.col("text"))[k].alias(k) for k in ("chars", "words")))
     return docs.rollup("source").agg(N().alias("rows"), F.sum("chars").alias("chars"), F.sum("words").alias("words")).select(F.coalesce("source", F.lit("all")).alias("part"), "rows", "chars", "words")
 
 
@@ -146,13 +146,13 @@ def source_conditional_counts(spark, sf):
 
 @query("""SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 20""")
 def lang_topk(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(N().alias("n")).orderBy(F.desc("n"), "lang").limit(20)
+    return documents(spark, sf).groupBy("lang").agg(N().alias("n")).orderBy(F.desc("n"), "lang").limit(20)
 
 
 @query("""WITH a AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), k AS (SELECT lang, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 GROUP BY lang)
 SELECT coalesce(a.lang, k.lang) AS lang, round(100.0 * coalesce(k.n, 0) / (SELECT sum(n) FROM k) - 100.0 * coalesce(a.n, 0) / (SELECT sum(n) FROM a), 6) AS delta FROM a FULL OUTER JOIN k ON a.lang = k.lang""")
 def label_shift(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    docs = documents(spark, sf).select("doc_id", "lang")
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
 
     def share(rows, name):
@@ -165,19 +165,19 @@ def label_shift(spark, sf):
 
 @query("""SELECT count(*) FILTER (l.quality IS NULL) AS missing_quality, count(*) FILTER (l.toxic IS NULL) AS missing_toxic, count(*) FILTER (d.lang IS NULL) AS missing_lang, count(*) AS rows FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def missing_field_counts(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = documents(spark, sf).select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
     return docs.agg(*(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("quality", "toxic", "lang")), N().alias("rows"))
 
 
 @query("""WITH s AS (SELECT count(*) AS n FROM documents GROUP BY md5(text)) SELECT min(n) AS least, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, max(n) AS most FROM s""")
 def cluster_size_percentiles(spark, sf):
-    sizes = table(spark, sf, "documents").groupBy(F.md5("text")).agg(N().alias("n"))
+    sizes = documents(spark, sf).groupBy(F.md5("text")).agg(N().alias("n"))
     return sizes.agg(F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.percentile("n", 0.9).alias("p90"), F.max("n").alias("most"))
 
 
 @query("""WITH b AS (SELECT doc_id % 10 AS bin, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1) SELECT bin, bytes, round(bytes / (SELECT sum(bytes) FROM b), 6) AS share, CASE WHEN bin >= 8 THEN round(bytes / (SELECT sum(bytes) FROM b WHERE bin >= 8), 6) END AS kept_share FROM b""")
 def quality_bin_share(spark, sf):
-    b = table(spark, sf, "documents").groupBy((F.col("doc_id") % 10).alias("bin")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    b = documents(spark, sf).groupBy((F.col("doc_id") % 10).alias("bin")).agg(F.sum(F.octet_length("text")).alias("bytes"))
     kept, everything = F.col("bin") >= 8, Window.partitionBy()  # ten rows
     return b.select("bin", "bytes", pct(F.col("bytes"), F.sum("bytes").over(everything)).alias("share"), F.when(kept, pct(F.col("bytes"), F.sum(F.when(kept, F.col("bytes"))).over(everything))).alias("kept_share"))
 
@@ -187,41 +187,41 @@ PATTERNS = {"license": "(?i)licen[cs]e", "secret": "(?i)(password|api_?key|token
 
 @query("SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {n}_docs" for n, p in PATTERNS.items()) + " FROM documents")
 def pattern_doc_counts(spark, sf):
-    return table(spark, sf, "documents").agg(*(F.count_if(F.col("text").rlike(p)).alias(f"{n}_docs") for n, p in PATTERNS.items()))
+    return documents(spark, sf).agg(*(F.count_if(F.col("text").rlike(p)).alias(f"{n}_docs") for n, p in PATTERNS.items()))
 
 
 @query("SELECT source, " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS {n}_hits" for n, p in PATTERNS.items()) + " FROM documents GROUP BY source")
 def pattern_hit_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(*(F.sum(F.regexp_count("text", F.lit(p))).cast("long").alias(f"{n}_hits") for n, p in PATTERNS.items()))
+    return documents(spark, sf).groupBy("source").agg(*(F.sum(F.regexp_count("text", F.lit(p))).cast("long").alias(f"{n}_hits") for n, p in PATTERNS.items()))
 
 
 @query("""SELECT flags, count(*) AS n FROM (SELECT concat_ws('+', CASE WHEN lang = 'en' THEN 'en' END, CASE WHEN length(text) > 2000 THEN 'long' END, CASE WHEN contains(text, '|') THEN 'table' END) AS flags FROM documents) GROUP BY flags""")
 def flag_venn(spark, sf):
     flags = F.concat_ws("+", F.when(F.col("lang") == "en", "en"), F.when(F.length("text") > 2000, "long"), F.when(F.contains("text", F.lit("|")), "table"))
-    return table(spark, sf, "documents").groupBy(flags.alias("flags")).agg(N().alias("n"))
+    return documents(spark, sf).groupBy(flags.alias("flags")).agg(N().alias("n"))
 
 
 @query("""SELECT source, metric, value FROM (SELECT source, CAST(count(*) AS DOUBLE) AS rows, CAST(avg(length(text)) AS DOUBLE) AS mean_chars, CAST(max(length(text)) AS DOUBLE) AS max_chars FROM documents GROUP BY source) UNPIVOT (value FOR metric IN (rows, mean_chars, max_chars))""")
 def metrics_melt(spark, sf):
-    wide = table(spark, sf, "documents").groupBy("source").agg(N().cast("double").alias("rows"), F.avg(F.length("text")).alias("mean_chars"), F.max(F.length("text")).cast("double").alias("max_chars"))
+    wide = documents(spark, sf).groupBy("source").agg(N().cast("double").alias("rows"), F.avg(F.length("text")).alias("mean_chars"), F.max(F.length("text")).cast("double").alias("max_chars"))
     return wide.unpivot("source", ["rows", "mean_chars", "max_chars"], "metric", "value")
 
 
 @query("""SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY source""")
 def metric_pivot(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(N()).na.fill(0)
+    return documents(spark, sf).groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(N()).na.fill(0)
 
 
 @query("""WITH a AS (SELECT DISTINCT lang, regexp_extract(text, '^[^ ]+') AS w FROM documents) SELECT x.lang AS lang_a, y.lang AS lang_b, count(*) AS shared FROM a x JOIN a y ON x.w = y.w GROUP BY 1, 2""")
 def set_intersections(spark, sf):
-    sets = table(spark, sf, "documents").select("lang", F.regexp_extract("text", "^[^ ]+", 0).alias("w")).groupBy("w").agg(F.collect_set("lang").alias("langs"))
+    sets = documents(spark, sf).select("lang", F.regexp_extract("text", "^[^ ]+", 0).alias("w")).groupBy("w").agg(F.collect_set("lang").alias("langs"))
     pairs = sets.select(F.explode("langs").alias("lang_a"), "langs").select("lang_a", F.explode("langs").alias("lang_b"))
     return pairs.groupBy("lang_a", "lang_b").agg(N().alias("shared"))
 
 
 @query("""SELECT DISTINCT lang, source FROM documents EXCEPT SELECT DISTINCT lang, source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 0""")
 def set_difference(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    docs = documents(spark, sf).select("doc_id", "lang", "source")
     bad = docs.join(table(spark, sf, "labels").where("quality = 0"), "doc_id", "left_semi").select("lang", "source")
     return docs.select("lang", "source").distinct().join(bad.distinct(), ["lang", "source"], "left_anti")
 
@@ -235,13 +235,13 @@ def arg_max_per_group(spark, sf):
 @query("""SELECT component, count(*) AS sources, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT CASE WHEN source IN ('src0', 'src1') THEN 'web' WHEN CAST(substr(source, 4) AS INTEGER) < 10 THEN 'books' ELSE 'other' END AS component, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY component""")
 def component_rollup(spark, sf):
     component = F.when(F.col("source").isin("src0", "src1"), "web").when(F.substring("source", 4, 9).cast("int") < 10, "books").otherwise("other")
-    n = table(spark, sf, "documents").groupBy(component.alias("component"), "source").agg(N().alias("n"))
+    n = documents(spark, sf).groupBy(component.alias("component"), "source").agg(N().alias("n"))
     return n.groupBy("component").agg(N().alias("sources"), F.sum("n").alias("rows"))
 
 
 @query("""SELECT lang, best FROM (SELECT lang, CASE greatest(a, b, c) WHEN a THEN 'short' WHEN b THEN 'medium' ELSE 'long' END AS best FROM (SELECT lang, count(*) FILTER (length(text) < 500) AS a, count(*) FILTER (length(text) BETWEEN 500 AND 2000) AS b, count(*) FILTER (length(text) > 2000) AS c FROM documents GROUP BY lang))""")
 def dominant_component(spark, sf):
     size = F.length("text")
-    n = table(spark, sf, "documents").groupBy("lang").agg(F.count_if(size < 500).alias("a"), F.count_if(size.between(500, 2000)).alias("b"), F.count_if(size > 2000).alias("c"))
+    n = documents(spark, sf).groupBy("lang").agg(F.count_if(size < 500).alias("a"), F.count_if(size.between(500, 2000)).alias("b"), F.count_if(size > 2000).alias("c"))
     top = F.greatest("a", "b", "c")
     return n.select("lang", F.when(top == F.col("a"), "short").when(top == F.col("b"), "medium").otherwise("long").alias("best"))

@@ -13,7 +13,7 @@ from loomstone.queries import query
 from loomstone.queries.dedup import FAMILY, final
 from loomstone.queries.rules import PARENTS
 from loomstone.queries.selection import GROUPED, TOKENS, grouped_splits
-from loomstone.queries.tables import CANON, canon
+from loomstone.queries.tables import CANON, canon, documents
 from loomstone.streaming.incremental import snapshot_drift
 
 
@@ -28,7 +28,7 @@ CODED = "SELECT doc_id, CASE WHEN length(text) > 600 THEN 'P' || CAST(length(tex
 def coded(spark, sf):
     n = F.length("text")
     code = F.concat(F.lit("P"), (n % 9).cast("string"), F.lit("_TA("), (2000 + n % 20).cast("string"), F.lit(")"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("\n"))
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.when(n > 600, code).otherwise(""), "text").alias("text"))
+    return documents(spark, sf).select("doc_id", F.concat(F.when(n > 600, code).otherwise(""), "text").alias("text"))
 
 
 CODE = r"CASE WHEN regexp_matches(substr(text, 1, 2500), 'P(\d+)_TA\((\d{4})\)(\d{4})') THEN 'TA-' || regexp_extract(substr(text, 1, 2500), 'P(\d+)_TA\((\d{4})\)(\d{4})', 1) || '-' || regexp_extract(substr(text, 1, 2500), 'P(\d+)_TA\((\d{4})\)(\d{4})', 2) || '-' || regexp_extract(substr(text, 1, 2500), 'P(\d+)_TA\((\d{4})\)(\d{4})', 3) END"
@@ -48,7 +48,7 @@ def adopted_text_titles(spark, sf):
 @query(rf"""WITH l AS (SELECT doc_id, list_filter({HEAD.format(n=20)}, lambda x: NOT starts_with(x, '|') AND x <> '---')[1:4] AS ls FROM documents)
 SELECT doc_id, CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '\p{{Ll}}'))) > 0 THEN list_filter(ls, lambda x: regexp_matches(x, '\p{{Ll}}'))[1] WHEN len(ls) >= 3 THEN array_to_string(ls[3:4], ' ') ELSE ls[1] END AS title FROM l""")
 def act_titles(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.act_title(F.col("text")).alias("title"))
+    return documents(spark, sf).select("doc_id", T.act_title(F.col("text")).alias("title"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_nationkey > 12 THEN c_mktsegment ELSE c_name END AS title, CASE WHEN c_nationkey > 5 THEN c_name || '; ' || c_mktsegment ELSE c_name END AS author FROM customer""")
@@ -70,7 +70,7 @@ def dedup_tokens(spark, sf):
 @query("""SELECT doc_id, array_to_string(list_filter([lang, NULL, '', source], lambda x: x IS NOT NULL AND x <> ''), '|') AS langs FROM documents""")
 def html_langs(spark, sf):
     values = F.array("lang", F.lit(None).cast("string"), F.lit(""), "source")
-    return table(spark, sf, "documents").select("doc_id", T.html_lang(values).alias("langs"))
+    return documents(spark, sf).select("doc_id", T.html_lang(values).alias("langs"))
 
 
 @query("""SELECT o_orderkey, TRY_CAST(split_part(CASE WHEN o_totalprice > 100000 THEN CAST(o_orderkey % 13 AS VARCHAR) || '_' || CAST(o_custkey AS VARCHAR) ELSE 'part_' || CAST(o_custkey AS VARCHAR) END, '_', 1) AS INTEGER) AS quality FROM orders""")
@@ -93,7 +93,7 @@ KINDS = {"lines": r"[^\n]+", "digits": r"\p{N}", "marks": r"\p{P}", "spaces": r"
        + ", ".join(f"CAST(len(regexp_extract_all({c}, '{p}')) AS BIGINT) AS {k}_{w}" for k, p in KINDS.items() for c, w in (("a", "before"), ("b", "after"))) + f" FROM ({CLEANED})")
 def cleaner_statistics(spark, sf):
     after = F.regexp_replace("text", r"[\p{N}|#]", "")
-    return table(spark, sf, "documents").select("doc_id", *(c.alias(n) for n, c in T.cleaner_statistics(F.col("text"), after).items()))
+    return documents(spark, sf).select("doc_id", *(c.alias(n) for n, c in T.cleaner_statistics(F.col("text"), after).items()))
 
 
 @query(f"WITH {CANON} SELECT doc_id FROM canon WHERE badness < 12 AND source_dataset NOT IN ('src1', 'src4') AND (coalesce(needs_ocr, false) = false OR coalesce(ocr_success, false) = true)")
@@ -121,7 +121,7 @@ def metadata_by_code(spark, sf):
 @query("""SELECT d.doc_id, c.c_name AS title FROM documents d LEFT JOIN customer c ON c.c_custkey - 1 = d.doc_id""")
 def metadata_by_position(spark, sf):
     """Documents with the metadata of the row that the number at the end of their id names."""
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_extract(F.concat(F.lit("act_"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), r"(\d+)$", 1).cast("long").alias("position"))
+    docs = documents(spark, sf).select("doc_id", F.regexp_extract(F.concat(F.lit("act_"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), r"(\d+)$", 1).cast("long").alias("position"))
     meta = table(spark, sf, "customer").select((F.col("c_custkey") - 1).cast("long").alias("position"), F.col("c_name").alias("title"))
     return docs.join(meta, "position", "left").select("doc_id", "title")
 
@@ -129,14 +129,14 @@ def metadata_by_position(spark, sf):
 @query(f"WITH {FAMILY} SELECT doc_id, family_id, family_size FROM m WHERE family_size > 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def reduced_bundle(spark, sf):
     """Family rows of the documents that a drop list leaves."""
-    kept = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+    kept = documents(spark, sf).select("doc_id").join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
     return D.families(final(spark, sf), "final_keeper").where("family_size > 1").join(kept, "doc_id", "left_semi").select("doc_id", "family_id", "family_size")
 
 
 @query("""WITH h AS (SELECT md5(text) AS h, max(length(text)) AS n, count(*) AS c FROM documents GROUP BY 1) SELECT doc_id, source FROM documents WHERE md5(text) IN (SELECT h FROM h WHERE c > 1) AND md5(text) NOT IN (SELECT h FROM h WHERE n < 300)""")
 def informative_copies(spark, sf):
     """Members of groups of equal texts, but for the groups whose text says little."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("h"), F.length("text").alias("n"))
+    docs = documents(spark, sf).select("doc_id", "source", F.md5("text").alias("h"), F.length("text").alias("n"))
     groups = docs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     return docs.join(groups.where("c > 1").select("h"), "h", "left_semi").join(groups.where("n < 300").select("h"), "h", "left_anti").select("doc_id", "source")
 
@@ -154,7 +154,7 @@ def collection_map(spark, sf):
 def assigned_split_rows(spark, sf):
     """Texts of the rows that a split was assigned to, by source and id."""
     assigned = grouped_splits(spark, sf).where("split <> 'train'").select(F.col("source_dataset").alias("source"), "doc_id", "split")
-    return table(spark, sf, "documents").join(assigned, ["source", "doc_id"]).select("doc_id", "split", F.length("text").cast("long").alias("chars"))
+    return documents(spark, sf).join(assigned, ["source", "doc_id"]).select("doc_id", "split", F.length("text").cast("long").alias("chars"))
 
 
 @query(f"WITH {FAMILY} SELECT d.doc_id, d.lang AS lang, m.family_id AS dedup_family_id, m.family_size AS dedup_family_size, m.chars AS dedup_chars FROM documents d LEFT JOIN (SELECT * FROM m WHERE family_size > 1) m ON m.source_dataset = d.source AND m.doc_id = d.doc_id")
@@ -164,12 +164,12 @@ def bundle_enrichment(spark, sf):
     path = shared_path(spark, "bundle")
     bundle.export(path, {"documents": families}, {"candidate_score_floor": 0.85})
     _, tables = bundle.load(spark, path)
-    return bundle.enriched(table(spark, sf, "documents").select("doc_id", "source", "lang"), tables["documents"], ["source", "doc_id"]).select("doc_id", "lang", "dedup_family_id", "dedup_family_size", "dedup_chars")
+    return bundle.enriched(documents(spark, sf).select("doc_id", "source", "lang"), tables["documents"], ["source", "doc_id"]).select("doc_id", "lang", "dedup_family_id", "dedup_family_size", "dedup_chars")
 
 
 @query("""WITH f AS (SELECT doc_id, md5(text) AS a, md5(lower(text)) AS b FROM documents) SELECT DISTINCT doc_id FROM f WHERE a IN (SELECT a FROM f GROUP BY a HAVING count(*) > 1) OR b IN (SELECT b FROM f GROUP BY b HAVING count(*) > 1)""")
 def touched_documents(spark, sf):
-    f = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("a"), F.md5(F.lower("text")).alias("b"))
+    f = documents(spark, sf).select("doc_id", F.md5("text").alias("a"), F.md5(F.lower("text")).alias("b"))
     parts = [f.join(f.groupBy(h).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(h), h, "left_semi").select("doc_id") for h in ("a", "b")]
     return parts[0].unionByName(parts[1]).distinct()
 
@@ -177,14 +177,14 @@ def touched_documents(spark, sf):
 @query(f"WITH {TOKENS} SELECT t.lang AS lang, CAST(sum(tokens) + 2 * count(*) AS BIGINT) AS tokens, CAST(sum(strlen(d.text)) AS BIGINT) AS bytes, count(*) AS docs FROM t JOIN documents d ON d.doc_id = t.doc_id GROUP BY 1")
 def encoded_totals(spark, sf):
     """Tokens with a mark at the beginning and at the end of each document, bytes and documents."""
-    docs = table(spark, sf, "documents").select("lang", T.token_estimate(F.col("text")).alias("t"), F.octet_length("text").alias("b"))
+    docs = documents(spark, sf).select("lang", T.token_estimate(F.col("text")).alias("t"), F.octet_length("text").alias("b"))
     return docs.groupBy("lang").agg((F.sum("t") + 2 * F.count(F.lit(1))).alias("tokens"), F.sum("b").cast("long").alias("bytes"), F.count(F.lit(1)).alias("docs"))
 
 
 @query("""SELECT source, count(DISTINCT entry) AS entries FROM (SELECT source, 'first' AS entry FROM documents WHERE source IN ('src0', 'src1', 'src2') UNION ALL SELECT source, 'second' FROM documents WHERE source NOT IN ('src0', 'src3') UNION ALL SELECT source, 'third' FROM documents WHERE lang = 'en') GROUP BY source HAVING count(DISTINCT entry) > 1""")
 def overlapping_entries(spark, sf):
     """Sources that more than one entry of a mix would take."""
-    docs = table(spark, sf, "documents").select("source", "lang")
+    docs = documents(spark, sf).select("source", "lang")
     first, second, third = docs.where(F.col("source").isin("src0", "src1", "src2")), docs.where(~F.col("source").isin("src0", "src3")), docs.where("lang = 'en'")
     members = [part.select("source", F.lit(name).alias("entry")) for name, part in (("first", first), ("second", second), ("third", third))]
     return members[0].unionByName(members[1]).unionByName(members[2]).groupBy("source").agg(F.count_distinct("entry").alias("entries")).where("entries > 1")
@@ -199,14 +199,14 @@ def arrival_numbers(spark, sf):
 @query("""SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS rn FROM documents) WHERE rn <= 25""")
 def quota_fill(spark, sf):
     """Each language's quota from the shards (here: sources) in their order; what comes after a full quota is not looked at."""
-    return S.top_per_group(table(spark, sf, "documents").select("doc_id", "source", "lang"), ["lang"], ["source", "doc_id"], 25)
+    return S.top_per_group(documents(spark, sf).select("doc_id", "source", "lang"), ["lang"], ["source", "doc_id"], 25)
 
 
 @query("""WITH b AS (SELECT doc_id, md5(text) AS h, length(text) AS n FROM documents), a AS (SELECT doc_id, CASE WHEN length(text) % 5 = 0 THEN md5(text || 'x') ELSE md5(text) END AS h FROM documents WHERE length(text) % 11 > 0)
 SELECT state, count(*) AS rows FROM (SELECT CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS state FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id) GROUP BY state""")
 def run_drift(spark, sf):
     """What changed between the snapshot that a run was registered with and the input now."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     size = F.length("text")
     before = docs.where(size % 11 > 0).select("doc_id", F.when(size % 5 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text")).alias("fingerprint"))
     return snapshot_drift(before, docs.select("doc_id", F.md5("text").alias("fingerprint")), "doc_id").groupBy("state").agg(F.count(F.lit(1)).alias("rows"))
@@ -233,7 +233,7 @@ def missing_quality(spark, sf):
 @query(r"""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS word FROM documents), p AS (SELECT lang, word FROM w GROUP BY lang, word HAVING count(*) >= 10) SELECT lang, count(*) AS promoted FROM p GROUP BY lang HAVING count(*) >= 5 ORDER BY promoted DESC, lang LIMIT 3""")
 def language_selection(spark, sf):
     """The languages with the most promoted words, of those with enough of them."""
-    words = table(spark, sf, "documents").select("lang", F.explode(T.word_tokens(F.lower("text"))).alias("word"))
+    words = documents(spark, sf).select("lang", F.explode(T.word_tokens(F.lower("text"))).alias("word"))
     promoted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
     return promoted.groupBy("lang").agg(F.count(F.lit(1)).alias("promoted")).where("promoted >= 5").orderBy(F.desc("promoted"), "lang").limit(3)
 
@@ -241,7 +241,7 @@ def language_selection(spark, sf):
 @query("""SELECT d.doc_id, md5(coalesce(CASE WHEN length(d.text) % 3 = 0 THEN NULL ELSE d.text END, s.text, '')) AS text_md5 FROM documents d LEFT JOIN documents s ON s.doc_id = d.doc_id""")
 def repaired_texts(spark, sf):
     """Files whose text was lost take it from the source with the same id."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     broken = docs.select("doc_id", F.when(F.length("text") % 3 != 0, F.col("text")).alias("mine"))
     return broken.join(docs, "doc_id", "left").select("doc_id", F.md5(F.coalesce("mine", "text", F.lit(""))).alias("text_md5"))
 
@@ -262,6 +262,6 @@ def projected_masks(spark, sf):
 @query("""WITH t AS (SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source) SELECT d.doc_id, d.chars AS chars, round(CAST(d.chars AS DOUBLE) / t.chars, 9) AS share FROM (SELECT doc_id, source, length(text) AS chars FROM documents) d JOIN t ON t.source = d.source WHERE d.chars > t.chars / 20.0""")
 def heavy_documents(spark, sf):
     """Documents that hold more than a twentieth of their source."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("chars"))
+    docs = documents(spark, sf).select("doc_id", "source", F.length("text").cast("long").alias("chars"))
     total = docs.groupBy("source").agg(F.sum("chars").alias("total"))
     return docs.join(total, "source").where(F.col("chars") > F.col("total") / 20.0).select("doc_id", "chars", F.round(F.col("chars") / F.col("total"), 9).alias("share"))

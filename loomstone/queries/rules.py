@@ -9,7 +9,7 @@ from loomstone.functions import text as T
 from loomstone.operators.selection import pack_bins
 from loomstone.plans.session import table
 from loomstone.queries import query
-from loomstone.queries.tables import CANON, canon
+from loomstone.queries.tables import CANON, canon, documents
 from loomstone.queries.tokens import WORDS, words
 
 
@@ -29,7 +29,7 @@ SCORES = "s AS (SELECT doc_id, unnest(['news', 'forum', 'legal', 'story']) AS la
 
 def label_scores(spark, sf):
     k = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("news"), (k * 7) % 11, F.lit("forum"), (k * 5) % 11, F.lit("legal"), (k * 3) % 11, F.lit("story"), k % 11).alias("scores"))
+    return documents(spark, sf).select("doc_id", F.create_map(F.lit("news"), (k * 7) % 11, F.lit("forum"), (k * 5) % 11, F.lit("legal"), (k * 3) % 11, F.lit("story"), k % 11).alias("scores"))
 
 
 @query(f"WITH {SCORES} SELECT doc_id, label AS top_label, score AS top_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rn FROM s) WHERE rn = 1")
@@ -48,7 +48,7 @@ def register_agreement(spark, sf):
     """A main label stands only where the top sub label's parent agrees with it; the taxonomy is a table of a few rows."""
     taxonomy = spark.createDataFrame(list(PARENTS.items()), "top_label string, parent string")
     main = F.when(F.col("lang") == "en", "IN").when(F.col("lang") == "fr", "ID").when(F.col("lang") == "de", "LE").otherwise("NA")
-    rows = top_labels(spark, sf).join(taxonomy, "top_label").join(table(spark, sf, "documents").select("doc_id", main.alias("main")), "doc_id")
+    rows = top_labels(spark, sf).join(taxonomy, "top_label").join(documents(spark, sf).select("doc_id", main.alias("main")), "doc_id")
     agree = F.count_if(F.col("main") == F.col("parent"))
     return rows.groupBy("main").agg(count().alias("rows"), agree.alias("agree"), F.round((count() - agree) / count(), 6).alias("mismatch_share"))
 
@@ -62,7 +62,7 @@ def iso_lookup(spark, sf):
     """Keys with aliases; of a repeated alias the first declaration holds."""
     declared = spark.createDataFrame([(c, i, n) for i, (c, n) in enumerate(ALIASES)], "code string, ord int, names string")
     lookup = declared.select("code", "ord", F.explode(F.split("names", r"\|")).alias("lang")).groupBy("lang").agg(F.min_by("code", "ord").alias("code"))
-    return table(spark, sf, "documents").select("doc_id", "lang").join(lookup, "lang", "left").select("doc_id", "code")
+    return documents(spark, sf).select("doc_id", "lang").join(lookup, "lang", "left").select("doc_id", "code")
 
 
 @query(f"""WITH {WORDS}, v AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT CASE WHEN regexp_matches(word, '^[0-9]+$') THEN 'digits' WHEN regexp_matches(word, '[0-9]') THEN 'mixed' WHEN length(word) = 1 THEN 'single' WHEN regexp_matches(word, '[^a-z]') THEN 'accented' WHEN length(word) > 15 THEN 'long' ELSE 'plain' END AS category, count(*) AS tokens, CAST(sum(n) AS BIGINT) AS mass FROM v GROUP BY 1""")
@@ -94,7 +94,7 @@ def removal_policy(spark, sf):
 SELECT arg_max(x, struct_pack(d := round(ny - nx, 9), k := -x)) AS knee, min(x) FILTER (cum >= 0.8 * (SELECT max(cum) FROM k)) AS point_80, count(*) FILTER (n >= 0.01 * (SELECT max(cum) FROM k)) AS above_floor, min(x) FILTER (n <= (SELECT max(n) FROM k) / 2.0) AS half_marginal FROM z""")
 def knee_statistics(spark, sf):
     """Where a curve of gains bends: one row for each source."""
-    c = table(spark, sf, "documents").groupBy("source").agg(count().alias("n"))
+    c = documents(spark, sf).groupBy("source").agg(count().alias("n"))
     rank, everything = Window.orderBy(F.desc("n"), "source"), Window.partitionBy()
     k = c.select("n", F.row_number().over(rank).cast("long").alias("x"), F.sum("n").over(rank.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("cum"))
     k = k.select("n", "x", "cum", F.max("cum").over(everything).alias("total"), F.min("cum").over(everything).alias("least"), F.max("x").over(everything).alias("last"), F.max("n").over(everything).alias("most"))
@@ -110,7 +110,7 @@ SELECT now.source AS source, n, CASE WHEN before.digest IS NULL THEN 'new' WHEN
 def incremental_reuse(spark, sf):
     """Groups whose members' digest is that of the run before are taken over. Digests are sums of hashes, so no group is gathered; equality of
     digests, not their values, is what counts."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.xxhash64("text").cast("decimal(38,0)").alias("h"))
+    docs = documents(spark, sf).select("doc_id", "source", F.xxhash64("text").cast("decimal(38,0)").alias("h"))
 
     def digest(rows):
         return rows.groupBy("source").agg(F.sum("h").alias("digest"), count().alias("n"))
@@ -126,7 +126,7 @@ SELECT f.doc_id AS doc_id, k.first_doc AS first_doc, f.doc_id = k.first_doc AS i
 def group_audit(spark, sf):
     """Members of groups of equal texts with the best candidate of each and the words that mark them."""
     marked = F.array_distinct(F.filter(T.word_tokens(F.lower("text")), lambda x: F.length(x) >= 4))
-    rows = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"), F.size(marked).cast("long").alias("words"))
+    rows = documents(spark, sf).select("doc_id", F.md5("text").alias("h"), F.size(marked).cast("long").alias("words"))
     groups = rows.groupBy("h").agg(count().alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
     return rows.join(groups, "h").select("doc_id", "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("is_best"), "words")
 
@@ -142,7 +142,7 @@ def duplicate_group_reasons(spark, sf):
 @query("""WITH h AS (SELECT md5(text) AS h, source, count(*) AS n FROM documents GROUP BY 1, 2), p AS (SELECT a.source AS a, b.source AS b, count(*) AS overlap, CAST(sum(least(a.n, b.n)) AS BIGINT) AS docs FROM h a JOIN h b ON a.h = b.h AND a.source < b.source GROUP BY 1, 2), t AS (SELECT source, count(*) AS total FROM documents GROUP BY source)
 SELECT p.a AS source_a, p.b AS source_b, overlap, docs, CASE WHEN 1.0 * docs / least(x.total, y.total) > 0.1 THEN 'prefer_larger' WHEN overlap > 1 THEN 'review' ELSE 'ignore' END AS advice FROM p JOIN t x ON p.a = x.source JOIN t y ON p.b = y.source""")
 def pair_recommendations(spark, sf):
-    docs = table(spark, sf, "documents").select(F.md5("text").alias("h"), "source")
+    docs = documents(spark, sf).select(F.md5("text").alias("h"), "source")
     groups = docs.groupBy("h", "source").agg(count().alias("n")).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s")).where(F.size("s") > 1)  # bounded by the sources
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["source"] > a["source"]), lambda b: F.struct(a["source"].alias("a"), b["source"].alias("b"), F.least(a["n"], b["n"]).alias("n")))))
     p = groups.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("source_a"), F.col("p.b").alias("source_b")).agg(count().alias("overlap"), F.sum("p.n").alias("docs"))
@@ -155,7 +155,7 @@ def pair_recommendations(spark, sf):
 @query("""SELECT source, n, CAST(round(n * rate, 4) AS DOUBLE) AS consumed, round(n * rate / sum(n * rate) OVER (), 6) AS share FROM (SELECT source, count(*) AS n, CAST(CASE source WHEN 'src0' THEN 2.0 WHEN 'src1' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS rate FROM documents GROUP BY source)""")
 def stage_consumption(spark, sf):
     rate = F.when(F.col("source") == "src0", 2.0).when(F.col("source") == "src1", 0.5).otherwise(1.0)
-    used = table(spark, sf, "documents").groupBy("source").agg(count().alias("n")).withColumn("used", F.col("n") * rate)
+    used = documents(spark, sf).groupBy("source").agg(count().alias("n")).withColumn("used", F.col("n") * rate)
     return used.select("source", "n", F.round("used", 4).alias("consumed"), F.round(F.col("used") / F.sum("used").over(Window.partitionBy()), 6).alias("share"))
 
 
@@ -168,13 +168,13 @@ def numeric_profile(spark, sf):
 @query()
 def shard_bin_packing(spark, sf):
     """Sources to four shards, the largest first, each to the shard with the least load: one row for each source."""
-    sizes = table(spark, sf, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("size"))
+    sizes = documents(spark, sf).groupBy("source").agg(F.sum(F.length("text")).alias("size"))
     return spark.createDataFrame(pack_bins([(r["source"], r["size"]) for r in sizes.collect()], 4), "source string, size long, shard int")
 
 
 @query()
 def mojibake_recovery(spark, sf):
     """Texts that were read in the wrong encoding, and what they were: UTF-8 bytes that stand as Latin-1 characters."""
-    docs = table(spark, sf, "documents").select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("broken"), "text")
+    docs = documents(spark, sf).select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("broken"), "text")
     fixed = F.decode(F.encode("broken", "ISO-8859-1"), "UTF-8")
     return docs.select("doc_id", (fixed == F.col("text")).alias("recovered"), (F.col("broken") != F.col("text")).alias("was_broken"))

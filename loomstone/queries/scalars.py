@@ -9,34 +9,34 @@ from loomstone.functions import text as T
 from loomstone.operators import filters
 from loomstone.plans.session import table
 from loomstone.queries import query
-from loomstone.queries.tables import CANON, RELAXED, STRICT, canon
+from loomstone.queries.tables import CANON, RELAXED, STRICT, canon, documents
 
 
 @query(rf"""SELECT doc_id, md5({STRICT.format("text")}) AS strict_md5, length({STRICT.format("text")}) AS strict_chars FROM documents""")
 def strict_norm_stats(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", normalize.exact_hashes("text").alias("f")).select("doc_id", "f.strict_md5", "f.strict_chars")
+    return documents(spark, sf).select("doc_id", normalize.exact_hashes("text").alias("f")).select("doc_id", "f.strict_md5", "f.strict_chars")
 
 
 @query(rf"""SELECT doc_id, md5({RELAXED.format("text")}) AS relaxed_md5, length({RELAXED.format("text")}) AS relaxed_chars FROM documents""")
 def relaxed_norm_stats(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", normalize.exact_hashes("text").alias("f")).select("doc_id", "f.relaxed_md5", "f.relaxed_chars")
+    return documents(spark, sf).select("doc_id", normalize.exact_hashes("text").alias("f")).select("doc_id", "f.relaxed_md5", "f.relaxed_chars")
 
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS BIGINT) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS fast_tokens FROM documents""")
 def token_estimate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.token_estimate_fast(F.col("text")).alias("fast_tokens"))
+    return documents(spark, sf).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.token_estimate_fast(F.col("text")).alias("fast_tokens"))
 
 
 @query(r"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 50""")
 def word_tokens_topk(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(T.word_tokens(F.lower("text"))).alias("word"))
+    words = documents(spark, sf).select(F.explode(T.word_tokens(F.lower("text"))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
 @query(r"""SELECT source, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(regexp_replace(text, '\s+', '', 'g'))) AS BIGINT) AS non_ws_chars,
 CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM documents GROUP BY source""")
 def text_metrics_by_source(spark, sf):
-    docs = table(spark, sf, "documents").select("source", *(c.alias(n) for n, c in T.text_metrics(F.col("text")).items()))
+    docs = documents(spark, sf).select("source", *(c.alias(n) for n, c in T.text_metrics(F.col("text")).items()))
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(n).alias(n) for n in ("chars", "non_ws_chars", "bytes", "words")))
 
 
@@ -46,7 +46,7 @@ MARKED = """SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' \\frac{a}{b}' W
 @query(rf"""SELECT doc_id, regexp_matches(text, '{T.LATEX.replace("'", "''")}') AS latex, regexp_matches(text, '{T.LATEX.replace("'", "''")}') OR regexp_matches(text, '{T.MATH}') AS math FROM ({MARKED})""")
 def latex_math_flags(spark, sf):
     mark = F.when(F.col("doc_id") % 4 == 0, F.lit(r" \frac{a}{b}")).when(F.col("doc_id") % 4 == 1, " ∑ x").when(F.col("doc_id") % 4 == 2, " $$y$$").otherwise("")
-    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", mark).alias("text"))
+    docs = documents(spark, sf).select("doc_id", F.concat("text", mark).alias("text"))
     return docs.select("doc_id", T.contains_latex(F.col("text")).alias("latex"), T.contains_math(F.col("text")).alias("math"))
 
 
@@ -142,7 +142,7 @@ WHEN NOT regexp_matches(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', ''
 def low_information_class(spark, sf):
     k = F.col("doc_id") % 8
     text = F.when(k == 0, F.lit(None)).when(k == 1, "  ").when(k == 2, "<!-- x -->").when(k == 3, "![a](b.png)").when(k == 4, "*** --").otherwise(F.col("text"))
-    docs = table(spark, sf, "documents").select(text.alias("text"))
+    docs = documents(spark, sf).select(text.alias("text"))
     return docs.groupBy(F.coalesce(T.low_information(F.col("text")), F.lit("informative")).alias("why")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -154,19 +154,19 @@ CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS word_count FROM shape)""
 
 @query(f"WITH {SHAPE} SELECT doc_id, line_count, table_lines, header_lines, short_lines, digit_chars, upper_chars, word_count, CASE WHEN line_count > 0 THEN round(CAST(table_lines AS DOUBLE) / line_count, 6) ELSE 0.0 END AS table_share FROM shaped")
 def text_shape_metrics(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *(c.alias(n) for n, c in T.text_shape(F.col("text")).items()))
+    return documents(spark, sf).select("doc_id", *(c.alias(n) for n, c in T.text_shape(F.col("text")).items()))
 
 
 @query(f"WITH {SHAPE} SELECT source, count(*) AS docs, median(word_count) AS median_words, median(line_count) AS median_lines, round(100.0 * avg(CASE WHEN word_count < 50 THEN 1 ELSE 0 END), 4) AS pct_short, round(100.0 * avg(CASE WHEN table_lines > 0 THEN 1 ELSE 0 END), 4) AS pct_tables FROM shaped GROUP BY source")
 def text_shape_medians(spark, sf):
-    docs = table(spark, sf, "documents").select("source", *(c.alias(n) for n, c in T.text_shape(F.col("text")).items()))
+    docs = documents(spark, sf).select("source", *(c.alias(n) for n, c in T.text_shape(F.col("text")).items()))
     pct = lambda c: F.round(100.0 * F.avg(F.when(c, 1).otherwise(0)), 4)
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.median("word_count").alias("median_words"), F.median("line_count").alias("median_lines"), pct(F.col("word_count") < 50).alias("pct_short"), pct(F.col("table_lines") > 0).alias("pct_tables"))
 
 
 @query("""SELECT hint, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT text, CASE WHEN length(text) < 200 THEN 'tiny' WHEN length(text) < 1000 THEN 'short' WHEN length(text) < 5000 THEN 'medium' ELSE 'long' END AS hint FROM documents) GROUP BY hint""")
 def size_hint(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.groupBy(T.size_hint(F.length("text")).alias("hint")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -189,7 +189,7 @@ def conversation_render(spark, sf):
 
 @query(r"""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(trim(x, '#*| -' || chr(9)), '\s+', ' ', 'g'), ' +([,.;:])', '\1', 'g'), ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^\d{4}/\d+$'))[1] AS line FROM documents""")
 def first_meaningful_line(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.first_meaningful_line(F.col("text")).alias("line"))
+    return documents(spark, sf).select("doc_id", T.first_meaningful_line(F.col("text")).alias("line"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, json_keys(props)[1] AS k FROM events)""")
@@ -207,12 +207,12 @@ def metadata_key_counts(spark, sf):
 @query("""SELECT doc_id, md5(source || ':' || CAST(doc_id AS VARCHAR) || ':' || 'salt-1') AS split_key, md5('chunk::' || source || '::' || CAST(doc_id AS VARCHAR)) AS chunk_key, sha256(coalesce(source, chr(1)) || chr(0) || coalesce(CAST(doc_id AS VARCHAR), chr(1))) AS doc_key FROM documents""")
 def stable_keys(spark, sf):
     chunk = F.md5(F.concat_ws("::", F.lit("chunk"), "source", F.col("doc_id").cast("string")))
-    return table(spark, sf, "documents").select("doc_id", ids.split_key(F.col("source"), F.col("doc_id"), salt="salt-1").alias("split_key"), chunk.alias("chunk_key"), ids.doc_key(F.col("source"), F.col("doc_id")).alias("doc_key"))
+    return documents(spark, sf).select("doc_id", ids.split_key(F.col("source"), F.col("doc_id"), salt="salt-1").alias("split_key"), chunk.alias("chunk_key"), ids.doc_key(F.col("source"), F.col("doc_id")).alias("doc_key"))
 
 
 @query(r"""SELECT doc_id, trim(substr(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 80), '') AS excerpt FROM documents""")
 def excerpts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text"), 80).alias("excerpt"))
+    return documents(spark, sf).select("doc_id", T.excerpt(F.col("text"), 80).alias("excerpt"))
 
 
 @query("""SELECT p_partkey, nullif(trim(p_name), '') AS title, CASE WHEN lower(p_brand) IN ('na', 'n/a', 'none', 'null', 'nan', '-', '_') THEN NULL ELSE p_brand END AS brand, regexp_replace(regexp_replace(p_type, '\\s+', ' ', 'g'), ' +([,.;:])', '\\1', 'g') AS kind FROM part""".replace("\\\\", "\\"))
@@ -222,7 +222,7 @@ def cleaned_scalars(spark, sf):
 
 @query("""SELECT doc_id, 'part_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS surrogate_id, source || '::' || lang || '::' || CAST(doc_id AS VARCHAR) AS positional_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS position, CAST(string_split(source || '_' || CAST(doc_id AS VARCHAR), '_')[2] AS BIGINT) AS bin FROM documents""")
 def derived_ids(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.format_string("part_%06d", "doc_id").alias("surrogate_id"), F.concat_ws("::", "source", "lang", F.col("doc_id").cast("string")).alias("positional_id"),
         F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("position"), F.split(F.concat_ws("_", "source", F.col("doc_id").cast("string")), "_")[1].cast("long").alias("bin"),
     )
@@ -232,4 +232,4 @@ def derived_ids(spark, sf):
 regexp_matches(text, '\p{Lu}{4,}') AS shouting FROM documents""")
 def script_flags(spark, sf):
     flags = {"latin_extended": r"[\x{00C0}-\x{024F}]", "greek": r"[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]", "cyrillic": r"[\x{0400}-\x{04FF}]", "ascii": r"^[\x{0000}-\x{007F}]*\z", "shouting": r"\p{Lu}{4,}"}
-    return table(spark, sf, "documents").select("doc_id", *(F.col("text").rlike(p).alias(n) for n, p in flags.items()))
+    return documents(spark, sf).select("doc_id", *(F.col("text").rlike(p).alias(n) for n, p in flags.items()))

@@ -11,7 +11,7 @@ from loomstone.operators import selection as S
 from loomstone.plans.prefix_sum import running_sum
 from loomstone.plans.session import table
 from loomstone.queries import query
-from loomstone.queries.tables import CANON, canon
+from loomstone.queries.tables import CANON, canon, documents
 
 RUN = f"WITH {CANON}, r AS (SELECT *, CAST(sum(chars) OVER (ORDER BY doc_key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM canon)"
 
@@ -31,7 +31,7 @@ TOKENS = r"t AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(text,
 
 
 def tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", T.token_estimate(F.col("text")).alias("tokens"))
+    return documents(spark, sf).select("doc_id", "source", "lang", T.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, tokens FROM (SELECT *, sum(tokens) OVER (ORDER BY tokens DESC, source, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS before FROM t) WHERE before < 100000")
@@ -95,37 +95,37 @@ def quota_summary(spark, sf):
 
 @query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id % 3 ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) WHERE rn <= 10")
 def stratified_sample(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", (F.col("doc_id") % 3).alias("b"), F.md5(F.concat_ws("|", F.lit("7"), F.col("doc_id").cast("string"))).alias("p"))
+    docs = documents(spark, sf).select("doc_id", "lang", "source", (F.col("doc_id") % 3).alias("b"), F.md5(F.concat_ws("|", F.lit("7"), F.col("doc_id").cast("string"))).alias("p"))
     return S.top_per_group(docs, ["lang", "b"], ["p", "doc_id"], 10).select("doc_id", "lang", "source")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY md5(source || '|' || CAST(doc_id AS VARCHAR)) LIMIT 100")
 def deterministic_sample(spark, sf):
-    return S.hash_sample(table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], 100).select("doc_id", "source")
+    return S.hash_sample(documents(spark, sf).select("source", "doc_id"), ["source", "doc_id"], 100).select("doc_id", "source")
 
 
 @query("""WITH g AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), e AS (SELECT lang, n, 97.0 * n / (SELECT sum(n) FROM g) AS x FROM g), f AS (SELECT *, floor(x) AS fl, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, lang) AS rk FROM e)
 SELECT lang, n, CAST(fl + CASE WHEN rk <= 97 - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f""")
 def largest_remainder_quota(spark, sf):
-    return S.largest_remainder(table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "n", "lang", 97)
+    return S.largest_remainder(documents(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "n", "lang", 97)
 
 
 @query("""WITH a AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rk FROM a WHERE rn <= 2)
 SELECT doc_id, lang, source FROM b WHERE rk <= 15""")
 def host_capped_sample(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", F.md5(F.col("doc_id").cast("string")).alias("p"))
+    docs = documents(spark, sf).select("doc_id", "lang", "source", F.md5(F.col("doc_id").cast("string")).alias("p"))
     return S.capped_sample(docs, "lang", "source", ["p", "doc_id"], 2, 15).select("doc_id", "lang", "source")
 
 
 @query("""SELECT doc_id, source, chars FROM (SELECT doc_id, source, length(text) AS chars, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn <= 3""")
 def topk_per_source(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("chars"))
+    docs = documents(spark, sf).select("doc_id", "source", F.length("text").cast("long").alias("chars"))
     return S.top_per_group(docs, ["source"], [F.desc("chars"), "doc_id"], 3)
 
 
 @query("""SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256('s|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) < 429496729""")
 def bernoulli_sample(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").where(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("s"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("long") < 429_496_729)
+    return documents(spark, sf).select("doc_id").where(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("s"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("long") < 429_496_729)
 
 
 @query(f"WITH RECURSIVE {CANON}, o AS (SELECT doc_id, chars, row_number() OVER (ORDER BY doc_key) AS rn FROM canon), c AS (SELECT rn, doc_id, CAST(0 AS BIGINT) AS shard, CAST(chars AS BIGINT) AS held FROM o WHERE rn = 1 UNION ALL SELECT o.rn, o.doc_id, c.shard + CASE WHEN c.held >= 200000 THEN 1 ELSE 0 END, CASE WHEN c.held >= 200000 THEN 0 ELSE c.held END + o.chars FROM c JOIN o ON o.rn = c.rn + 1) SELECT doc_id, shard FROM c")

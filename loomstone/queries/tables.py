@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
 from loomstone.functions.ids import doc_key
-from loomstone.plans.session import table
+from loomstone.plans.session import spread, table
 
 #: The canonical table: a document with its flags from the labels (unlabelled: null) and a badness score of its own.
 CANON = r"""
@@ -23,8 +23,12 @@ STRICT = r"trim(regexp_replace(nfc_normalize(regexp_replace({0}, '[\x{{200b}}-\x
 RELAXED = r"trim(regexp_replace(regexp_replace(replace(replace(replace(lower(" + STRICT + r"), 'ß', 'ss'), 'ς', 'σ'), chr(173), ''), '[\p{{P}}\p{{Z}}]+', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def canon(spark: SparkSession, sf: str) -> DataFrame:
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = documents(spark, sf), table(spark, sf, "labels")
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
         F.col("source").alias("source_dataset"), F.col("doc_id").cast("string").alias("source_doc_id"), "doc_id", "text", "lang", F.length("text").cast("long").alias("chars"),

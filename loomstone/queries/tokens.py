@@ -10,12 +10,13 @@ from loomstone.functions import text as T
 from loomstone.operators import bpe_continuation as B
 from loomstone.plans.session import table
 from loomstone.queries import query
+from loomstone.queries.tables import documents
 
 WORDS = r"w AS (SELECT source, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS word FROM documents)"
 
 
 def words(spark, sf, *keep):
-    return table(spark, sf, "documents").select(*keep, F.explode(T.word_tokens(F.lower("text"))).alias("word"))
+    return documents(spark, sf).select(*keep, F.explode(T.word_tokens(F.lower("text"))).alias("word"))
 
 
 def n():
@@ -29,7 +30,7 @@ def source_token_histogram(spark, sf):
 
 @query(r"""SELECT source, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'))) AS BIGINT) AS tokens FROM documents GROUP BY source""")
 def source_denominators(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count(F.lower("text"), F.lit(T.WORD))).cast("long").alias("tokens"))
+    return documents(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count(F.lower("text"), F.lit(T.WORD))).cast("long").alias("tokens"))
 
 
 @query(f"WITH {WORDS}, c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY lang, word) SELECT lang, CAST(sum(n) AS BIGINT) AS total, count(*) AS fired, count(*) FILTER (n >= 10) AS fired_10, count(*) FILTER (n >= 100) AS fired_100 FROM c GROUP BY lang")
@@ -50,17 +51,17 @@ PAIRS = SEGMENTS + ", i AS (SELECT segment, n, unnest(range(1, length(segment)))
 
 @query(f"WITH {SEGMENTS} SELECT segment, n FROM s WHERE n >= 20")
 def segment_counts(spark, sf):
-    return B.segment_counts(table(spark, sf, "documents")).where("n >= 20")
+    return B.segment_counts(documents(spark, sf)).where("n >= 20")
 
 
 @query(f'WITH {PAIRS} SELECT l AS "left", r AS "right", n FROM p')
 def adjacent_pair_stats(spark, sf):
-    return B.pair_counts(B.segment_counts(table(spark, sf, "documents")))
+    return B.pair_counts(B.segment_counts(documents(spark, sf)))
 
 
 @query(f'WITH {PAIRS} SELECT l AS "left", r AS "right", n FROM p ORDER BY n DESC, l, r LIMIT 1')
 def bpe_best_pair(spark, sf):
-    return B.pair_counts(B.segment_counts(table(spark, sf, "documents"))).orderBy(F.desc("n"), "left", "right").limit(1)
+    return B.pair_counts(B.segment_counts(documents(spark, sf))).orderBy(F.desc("n"), "left", "right").limit(1)
 
 
 VOCAB = f"{WORDS}, v AS (SELECT word, count(*) AS n FROM w GROUP BY word), ranked AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS id FROM (SELECT * FROM v ORDER BY n DESC, word LIMIT 2000))"
@@ -122,7 +123,7 @@ LINES = "li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unne
 
 
 def lines(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 RESIDUE = r"[#$%&*]{3}|!!|\|"
@@ -156,7 +157,7 @@ c AS (SELECT *, coalesce(sum(CASE WHEN starts_with(trim(line), '```') THEN 1 ELS
 SELECT context, count(*) AS n FROM (SELECT CASE WHEN starts_with(trim(line), '```') THEN 'fence' WHEN fences % 2 = 1 THEN 'code' WHEN trim(line) = '' THEN 'blank' WHEN contains(line, '|') THEN 'table' WHEN regexp_matches(trim(line), '^#{{1,6}}\s') THEN 'header' WHEN regexp_matches(trim(line), '^[-*+]\s') THEN 'list' WHEN regexp_matches(trim(line), '^\d+[.)]\s') THEN 'numbered' ELSE 'prose' END AS context FROM c) GROUP BY context""")
 def line_context(spark, sf):
     cut = F.when(F.col("doc_id") % 2 == 0, "\n```\n").otherwise("\n")
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(". "), cut), "\n")).alias("line_no", "line"))
+    rows = documents(spark, sf).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(". "), cut), "\n")).alias("line_no", "line"))
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     fences = F.coalesce(F.sum(F.trim("line").startswith("```").cast("int")).over(before), F.lit(0))
     return rows.withColumn("fences", fences).groupBy(T.line_context(F.col("line"), F.col("fences")).alias("context")).agg(n())
@@ -172,20 +173,20 @@ def line_comparison(spark, sf):
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, round(CAST(length(text) AS DOUBLE) / len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')), 6) AS chars_per_token, round(CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS DOUBLE) / strlen(text), 6) AS tokens_per_byte FROM documents""")
 def fertility(spark, sf):
     tokens = T.token_estimate(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(T.spelled(r"\S+"))).cast("long").alias("words"), F.round(F.length("text") / tokens, 6).alias("chars_per_token"), F.round(tokens / F.octet_length("text"), 6).alias("tokens_per_byte"))
+    return documents(spark, sf).select("doc_id", F.regexp_count("text", F.lit(T.spelled(r"\S+"))).cast("long").alias("words"), F.round(F.length("text") / tokens, 6).alias("chars_per_token"), F.round(tokens / F.octet_length("text"), 6).alias("tokens_per_byte"))
 
 
 @query()
 def markdown_chunks(spark, sf):
     """Chunks in order; tests hold that they have all text and keep to the bound."""
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(normalize.markdown_chunks("text")).alias("chunk", "text"))
+    rows = documents(spark, sf).select("doc_id", F.posexplode(normalize.markdown_chunks("text")).alias("chunk", "text"))
     return rows.select("doc_id", "chunk", F.length("text").alias("chars"), F.md5("text").alias("chunk_md5"))
 
 
 @query()
 def bpe_merge_steps(spark, sf):
     """The first merges from single characters, of pairs that occur at least ten times; all distinct segments feed the loop."""
-    counted = B.segment_counts(table(spark, sf, "documents")).where("length(segment) >= 2").toArrow().to_pylist()
+    counted = B.segment_counts(documents(spark, sf)).where("length(segment) >= 2").toArrow().to_pylist()
     chars = sorted({c for r in counted for c in r["segment"]})
     vocabulary = {c: k for k, c in enumerate(chars)}
     merges = B.merge_steps({tuple(vocabulary[c] for c in r["segment"]): r["n"] for r in counted}, dict(vocabulary), 100, 10)
