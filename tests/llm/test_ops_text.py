@@ -109,13 +109,45 @@ def test_names_that_begin_sentences_and_dense_numbers():
     assert [m[0] for m in table.matches(*reader.read("they buy 5"))] == [3]
 
 
-def test_benchmark_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "PART_CHARS", 100)
+def test_like_items_are_told_apart(spark):
     items = [(k, ITEM.replace("green river", f"word{k} river").replace("old station", f"place{k} station"), "a") for k in range(6)]
     docs = frame(spark, [(k, t) for k, t, _ in items])
     assert [(d, i) for d, i, v in leaks(spark, docs, items) if v] == [(k, k) for k in range(6)]
 
 
+def test_leaks_equal_verification_of_all_pairs(spark):
+    """The join by heads finds what holding every document against every item finds."""
+    rng = random.Random(14)
+    words = ["stone", "river", "they", "sells", "with", "under", "kilo", "Ana", "Tom", "7", "12", "3.5", "two", "kg", ".", "hours", "box"]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([1, 2, 4, 5, 6, 9, 14, 30, 60])))) for k in range(40)]
+    swap = {"Ana": "Eva", "Tom": "Max", "7": "8", "12": "90", "3.5": "1.25", "two": "six", "stone": "sand"}
+    docs = []
+    for k in range(300):
+        body = rng.choice(items)[1].split()
+        change = {a: b for a, b in swap.items() if rng.random() < 0.4}
+        body = [change.get(w, w) for w in body]
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            body[rng.randrange(len(body))] = rng.choice(words)
+        docs.append((k, " ".join([*rng.choices(words, k=rng.randrange(12)), *body, *rng.choices(words, k=rng.randrange(12))])))
+    reader, want = decontaminate.Templates(), []
+    tables = [decontaminate.Benchmark([item]) for item in items]
+    for k, text in docs:
+        plain, kind = reader.read(text)
+        want += [(k, *m) for t in tables for m in t.matches(plain, kind)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()]
+    assert sorted(got) == sorted(want) and len({r[0] for r in want}) > 100
+    assert any(not r[4] for r in want)
+    left = decontaminate.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert sorted(r.doc_id for r in left.collect()) == sorted({k for k, _ in docs} - {r[0] for r in want})
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, ITEM, 5, "x"), (None, None, 6, "y"), (None, ITEM, 7, "z"), (2, "", None, None)], "doc_id long, text string, k long, text_hash string")
+    got = decontaminate.without_leaks(docs, spark.createDataFrame([(70, ITEM)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, [docs.collect()[1], docs.collect()[3]]))
+
+
 def brute_pipeline(docs, labels_model):
     kept = [(i, t) for i, t in docs if quality.score(labels_model, np.array([quality.features(t or "")]))[0] >= quality.CUT]
     best = {}
