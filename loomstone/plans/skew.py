@@ -24,16 +24,22 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, to
     return marked.where("__hot").select(*cold.columns).unionByName(cold)
 
 
+#: Bits of a bitmap for each entry, as long as the bitmap is under its bound.
+ENTRY_BITS = 512
+
+
 def bitmap_of(hashes: DataFrame, column: str, entries: int, most_bits: int = 28) -> np.ndarray:
-    """A bitmap of 64-bit hashes (a Bloom filter with one probe): uint64 words, the bit of a hash at ``places``.
+    """A bitmap of 64-bit hashes (a Bloom filter with two probes): uint64 words.
 
-    It has about 32 bits for each entry and 2 ** most_bits bits at most, 32 MB, however many entries there are: above
-    that more hashes pass that are not in it, none is missed. The driver gets at most one row for each word.
+    It has ENTRY_BITS bits for each entry, so that one in 60,000 other hashes passes, and 2 ** most_bits bits at most, 32 MB, however
+    many entries there are: above that more hashes pass that are not in it, none is missed. The driver gets at most one
+    row for each word.
     """
-    bits = min(most_bits, max(16, int(32 * max(1, entries) - 1).bit_length()))
-    place = F.shiftrightunsigned(column, 64 - bits)
-    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    found = hashes.groupBy(word.cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = min(most_bits, max(16, int(ENTRY_BITS * max(1, entries) - 1).bit_length()))
+    first, second = F.shiftrightunsigned(column, 64 - bits), F.shiftrightunsigned(F.call_function("shiftleft", F.col(column), F.lit(32)), 64 - bits)
+    place = hashes.select(F.explode(F.array(first, second)).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
+    found = place.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
@@ -41,5 +47,12 @@ def bitmap_of(hashes: DataFrame, column: str, entries: int, most_bits: int = 28)
 
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the uint64 hashes may be in the bitmap."""
-    place = hashes >> np.uint64(64 - 6 - (len(bitmap).bit_length() - 1))
-    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    shift = np.uint64(64 - 6 - (len(bitmap).bit_length() - 1))
+
+    def there(place: np.ndarray) -> np.ndarray:
+        return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+    out = there(hashes >> shift)
+    some = np.flatnonzero(out)
+    out[some] = there((hashes[some] << np.uint64(32)) >> shift)
+    return out

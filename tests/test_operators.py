@@ -406,4 +406,4 @@ def test_bitmap_misses_nothing(spark):
     rng = np.random.default_rng(3)
     inside, outside = (rng.integers(-(2**63), 2**63, 3000) for _ in range(2))
     bitmap = bitmap_of(spark.createDataFrame([(int(x),) for x in inside], "h long"), "h", len(inside))
-    assert in_bitmap(bitmap, inside.view(np.uint64)).all() and in_bitmap(bitmap, outside.view(np.uint64)).mean() < 0.1
+    assert in_bitmap(bitmap, inside.view(np.uint64)).all() and in_bitmap(bitmap, outside.view(np.uint64)).mean() < 0.001
