@@ -19,7 +19,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +43,8 @@ WORD_CACHE, LONG_WORD = 800_000, 100
 SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Fixed value: the pre-tokenizer's pattern for such words in lower case.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Marks that often end words.
+ENDS = b".,;:!?"
 #: The character that stands for each byte in the vocabulary.
 SHOWN = {b: c for c, b in byte_of_char().items()}
 
@@ -198,29 +200,26 @@ class ShardReader:
             yield (None if null else doc), pieces
 
 
-class Cache:
-    """A bounded map in two generations: what was not asked for during a generation goes."""
+class Known(dict):
+    """What was made of keys, bounded, in two generations: what was not asked for during a generation goes. Long keys are not kept."""
 
-    def __init__(self, most: int) -> None:
-        self.half, self.young, self.old = most // 2, {}, {}
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.half, self.old = make, most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG_WORD:
+            self[key] = value
+        return value
 
     def turn(self) -> None:
-        """Begin a new generation if this one is full. Between turns ``young`` keeps all that was asked for."""
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-
-    def missing(self, keys: set) -> list:
-        """Those of the keys that are unknown; the others are in ``young`` afterwards."""
-        young, old = self.young, self.old
-        out = []
-        for k in keys:
-            if k not in young:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    young[k] = v
-        return out
+        """Begin a new generation if this one is full."""
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordTokenizer:
@@ -238,39 +237,28 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words, self.pieces = Cache(WORD_CACHE), Cache(WORD_CACHE)
+        self.model = self.library.model.tokenize
+        self.words, self.pieces = Known(self.word, WORD_CACHE), Known(self.piece, WORD_CACHE)
+
+    def piece(self, p: str) -> bytes:
+        return array("I", [t.id for t in self.model(p if p.isascii() else p.encode().decode("latin-1").translate(SHOWN))]).tobytes()
+
+    def word(self, w: bytes) -> bytes:
+        if w.isalpha():  # ASCII letters, one piece
+            return self.pieces[w.lower().decode()]
+        core = w.rstrip(ENDS)
+        if core.isalpha():  # and marks behind them, another
+            return self.pieces[core.lower().decode()] + self.pieces[w[len(core) :].decode()]
+        text = w.decode()
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         self.words.turn()
         self.pieces.turn()
-        split = [t.split() for t in texts]
-        new = self.words.missing(set().union(*split))
-        simple, findall, parted, small, whole = SIMPLE.fullmatch, PIECE.findall, [], set(), set()
-        for w in new:
-            text = w.decode()
-            if simple(text) and "<|" not in text:
-                parts = findall(text.lower())
-                small.update(parts)
-            else:
-                parts = [text]
-                whole.add(text)
-            parted.append(parts)
-        small, whole = self.pieces.missing(small), self.pieces.missing(whole - small)
-        pieces, words, model = self.pieces.young, self.words.young, self.library.model.tokenize
-        for p in small:
-            pieces[p] = array("I", [t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(SHOWN))]).tobytes()
-        for at in range(0, len(whole), 4096):
-            part = whole[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                pieces[p] = array("I", e.ids).tobytes()
-        for w, ps in zip(new, parted, strict=True):
-            words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-        out = [np.frombuffer(b"".join([words[w] for w in ws]), "<u4") for ws in split]
-        for known, keys in ((words, new), (pieces, small), (pieces, whole)):
-            for k in keys:
-                if len(k) > LONG_WORD:
-                    del known[k]
-        return out
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, t.split())), "<u4") for t in texts]
 
 
 @lru_cache(maxsize=2)
