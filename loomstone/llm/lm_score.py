@@ -36,7 +36,7 @@ SHARD_BYTES = 4 << 20
 #: Bounds the shards, which are tasks, and so the records that a flush of a counting task makes.
 MOST_SHARD_BITS = 15
 BUFFER_TOKENS, COMPACT_BYTES = 1_000_000, 64 << 20
-CHUNK_DOCS = 512
+CHUNK_DOCS = 1024
 
 END = np.uint64(0x5EED_0E0D_0000_0001)
 SINGLE, PAIR = np.uint64(0), np.uint64(1)

@@ -28,26 +28,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Hashes(dict):
+    """64-bit hashes of words, made when they are first asked for; long words are not kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self[word] = h
+        return h
+
+
 class WordHasher:
     """64-bit hashes of words, with a bounded cache."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Hashes()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > WORD_CACHE:
-                known.clear()
-            hash_of = xxhash.xxh3_64_intdigest
-            for i, h in enumerate(found):
-                if h is None:
-                    w = words[i]
-                    found[i] = h = hash_of(w)
-                    if len(w) <= LONG_WORD:
-                        known[w] = h
-        return np.array(found, np.uint64)
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def windows_at(words: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
