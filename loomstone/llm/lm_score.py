@@ -8,7 +8,7 @@ the base score.
 
 Scoring: while filter and counts together are under BROADCAST_BYTES they are broadcast, shard by shard, and one
 narrow pass scores the texts. Above that, nothing is broadcast: each chunk of documents sends its distinct keys to
-their shards and gets the answers back. Both ways give the same numbers.
+their shards, in rows of bounded size, and gets the answers back. Both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ BROADCAST_BYTES = 160 << 20
 SHARD_BYTES = 4 << 20
 #: Bounds the shards, which are tasks, and so the records that a flush of a counting task makes.
 MOST_SHARD_BITS = 15
+#: Bytes in one row of a question or an answer: Spark reads 4,096 rows of a file at once.
+PIECE_BYTES = 32 << 10
 BUFFER_TOKENS, COMPACT_BYTES = 1_000_000, 64 << 20
 CHUNK_DOCS = 1024
 
@@ -243,49 +245,55 @@ def score_by_shards(rows: DataFrame, shards: DataFrame, bits: int, n: int, v: in
                 single, pair, sizes = tokens.read(as_bytes(part.column(1)))
                 keys, inverse = np.unique(np.concatenate([single, pair]), return_inverse=True)
                 ids = part.column(0).to_pylist()
-                head = np.array([len(ids), len(single)], np.int64).tobytes() + np.array([i is None for i in ids], np.int64).tobytes() + np.array([i or 0 for i in ids], np.int64).tobytes() + sizes.tobytes() + inverse.astype(np.int64).tobytes()
-                out = [(chunk, -1, head)] + [(chunk, s, keys[lo:hi].tobytes()) for s, lo, hi in by_shard(keys, bits)]
-                for row in out:
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.binary())], ["chunk", "shard", "data"])
+                head = np.array([len(ids), len(single)], np.int64).tobytes() + np.array([i is None for i in ids], np.int64).tobytes() + np.array([i or 0 for i in ids], np.int64).tobytes() + sizes.tobytes() + inverse.astype(np.uint32).tobytes()
+                for shard, data in [(-1, head), *((s, keys[lo:hi].tobytes()) for s, lo, hi in by_shard(keys, bits))]:
+                    pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
+                    n = len(pieces)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([shard] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(pieces, pa.binary())], ["chunk", "shard", "piece", "data"])
                 chunk += 1
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, model = None, (b"\0" * 8, b"", b"")
         for batch in batches:
-            for chunk, shard, data, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, shard, piece, data, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     now, model = shard, (b"\0" * 8, b"", b"")
                 if chunk is None:
                     model = (data, *own)
                     continue
                 level, exact = answers(np.frombuffer(data, np.uint64), *model)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int32()), pa.array([level.tobytes() + exact.tobytes()], pa.binary())], ["chunk", "shard", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int32()), pa.array([piece], pa.int32()), pa.array([level.tobytes() + exact.tobytes()], pa.binary())], ["chunk", "shard", "piece", "data"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(parts):
-            head = np.frombuffer(parts[0], np.int64)
-            docs, size = head[:2].tolist()
-            null, ids, sizes, inverse = head[2 : 2 + docs].astype(bool), head[2 + docs : 2 + 2 * docs], head[2 + 2 * docs : 2 + 3 * docs], head[2 + 3 * docs :]
-            level = np.concatenate([np.frombuffer(p[: len(p) // 9], np.uint8) for p in parts[1:]])
-            exact = np.concatenate([np.frombuffer(p[len(p) // 9 :], np.int64) for p in parts[1:]])
+            head = b"".join([p for shard, p in parts if shard < 0])
+            docs, size = np.frombuffer(head, np.int64, 2).tolist()
+            numbers = np.frombuffer(head, np.int64, 3 * docs, 16)
+            null, ids, sizes = numbers[:docs].astype(bool), numbers[docs : 2 * docs], numbers[2 * docs :]
+            inverse = np.frombuffer(head, np.uint32, -1, 16 + 24 * docs).astype(np.int64)
+            found = [p for shard, p in parts if shard >= 0]
+            level = np.concatenate([np.frombuffer(p[: len(p) // 9], np.uint8) for p in found])
+            exact = np.concatenate([np.frombuffer(p[len(p) // 9 :], np.int64) for p in found])
             return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), *map(pa.array, scores(None, inverse[:size], inverse[size:], sizes, level, exact, n, v))], schema=OUT)
 
         now, parts = None, []
         for batch in batches:
-            for chunk, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, shard, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk != now and parts:
                     yield made(parts)
                     parts = []
                 now = chunk
-                parts.append(data)
+                parts.append((shard, data))
         if parts:
             yield made(parts)
 
-    asked = written(rows.mapInArrow(ask, "chunk long, shard int, data binary"), "lm-asked")
-    none = F.lit(None).cast("binary")
-    to_shards = asked.where("shard >= 0").select("chunk", "shard", "data", none.alias("single_keys"), none.alias("single_counts")).unionByName(shards.select(F.lit(None).cast("long").alias("chunk"), "shard", F.col("filter").alias("data"), "single_keys", "single_counts"))
-    replies = to_shards.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(reply, "chunk long, shard int, data binary")
-    back = asked.where("shard = -1").unionByName(replies).repartition(1 << bits, "chunk").sortWithinPartitions("chunk", "shard")
+    schema = "chunk long, shard int, piece int, data binary"
+    asked = written(rows.mapInArrow(ask, schema), "lm-asked")
+    none, no = F.lit(None).cast("binary"), F.lit(None)
+    models = shards.select(no.cast("long").alias("chunk"), "shard", no.cast("int").alias("piece"), F.col("filter").alias("data"), "single_keys", "single_counts")
+    to_shards = asked.where("shard >= 0").select("chunk", "shard", "piece", "data", none.alias("single_keys"), none.alias("single_counts")).unionByName(models)
+    replies = to_shards.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", F.col("chunk").asc_nulls_first(), "piece").mapInArrow(reply, schema)
+    back = asked.where("shard = -1").unionByName(replies).repartition(1 << bits, "chunk").sortWithinPartitions("chunk", "shard", "piece")
     return back.mapInArrow(finish, OUT_SQL)
 
 
