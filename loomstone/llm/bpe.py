@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
-from loomstone.llm.common import id_and_text, map_arrow
+from loomstone.llm.common import Known, id_and_text, map_arrow, resident
 
 #: White space as the tokenizer's pattern language counts it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -37,8 +37,8 @@ CHUNKS = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: characters go through the library's own splitter, as its tables are of another version than those of ``regex``.
 SETTLED = unicodedata.ucd_3_2_0
 
-#: Bounds of the caches in a worker (entries), and of the chunks that are kept (characters).
-CHUNK_CACHE, PAIR_CACHE, LONG_CHUNK = 600_000, 1_000_000, 100
+#: Bounds of the caches in a worker (entries).
+CHUNK_CACHE, PAIR_CACHE = 600_000, 400_000
 ENDLESS = 1 << 60
 
 
@@ -69,7 +69,7 @@ def newer_characters() -> re.Pattern:
 
 
 class ByteBPE:
-    """One vocabulary: tables, automaton and bounded caches. Built once in each Python worker."""
+    """One vocabulary: tables, automaton and bounded caches. Built once in each Python worker, and let go there when another operator's task begins."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -105,7 +105,8 @@ class ByteBPE:
             self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.chunks = Known(self.chunk, CHUNK_CACHE)
+        self.decimal = [str(i) for i in range(len(self.token_bytes))]
         self.pieces = regex.compile(PIECES)
         self.words = re.compile(CHUNKS)
         self.newer, self.splitter = newer_characters(), ByteLevel(add_prefix_space=False, use_regex=True)
@@ -161,30 +162,27 @@ class ByteBPE:
             pieces = self.pieces.findall(chunk)
         return [i for p in pieces for i in self.encode_piece(p.encode())]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
+    def chunk(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk[1:].isalpha():  # one piece: letters after at most one other character, a space or a letter
             ids = self.encode_piece(chunk.encode()) if chunk[0] == " " or chunk[0].isalpha() else self.encode_pieces(chunk)
         else:
             ids = self.encode_pieces(chunk)
-        value = array("I", ids).tobytes(), ",".join(map(str, ids))
-        if len(chunk) <= LONG_CHUNK:
-            if len(self.chunks) >= CHUNK_CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = value
-        return value
+        return array("I", ids).tobytes()
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids as an array, and as decimal text joined by commas."""
-        found = []
+    def ids(self, text: str) -> np.ndarray:
+        found, known = [], self.chunks.__getitem__
         parts = self.apart.split(text) if self.apart and any(t in text for t in self.special) else (text,)
         for part in parts:
             if part in self.special:
-                i = self.special[part]
-                found.append((np.array([i], "<u4").tobytes(), str(i)))
+                found.append(np.array([self.special[part]], "<u4").tobytes())
             else:
-                get, make = self.chunks.get, self.chunk
-                found += [get(c) or make(c) for c in self.words.findall(part)]
-        return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), ",".join([x[1] for x in found])
+                found += map(known, self.words.findall(part))
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def encode(self, text: str) -> tuple[np.ndarray, str]:
+        """The ids as an array, and as decimal text joined by commas."""
+        ids = self.ids(text)
+        return ids, ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: Iterator[int]) -> str:
         """Bytes that are not UTF-8 become U+FFFD; ids outside the vocabulary give nothing."""
@@ -195,9 +193,8 @@ class ByteBPE:
             return b"".join([table[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    return resident(("byte-bpe", path), lambda: ByteBPE(path))
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +209,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
         bpe = vocabulary(path)
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            arrays = [bpe.encode(t)[0] for t in batch.column(1).to_pylist()]
+            arrays = [bpe.ids(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(arrays) + 1, np.int32)
             np.cumsum([len(a) for a in arrays], out=offsets[1:])
             values = pa.array(np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32))
@@ -220,7 +217,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc
 
         return fn
 
-    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id long, ids array<int>", rows=256)
+    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id long, ids array<int>", rows=256, keeps=("byte-bpe", path))
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -238,7 +235,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "
 
     from pyspark.sql import functions as F
 
-    return map_arrow(encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")), make, "doc_id long, text string", rows=256)
+    return map_arrow(encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")), make, "doc_id long, text string", rows=256, keeps=("byte-bpe", path))
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,4 +257,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str | None = None, id_col: str =
 
         return fn
 
-    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=256)
+    return map_arrow(id_and_text(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=256, keeps=("byte-bpe", path))

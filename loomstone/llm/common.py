@@ -48,10 +48,50 @@ def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = SLICE_BYTES) -> I
         yield batch.slice(at)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]], schema: str, rows: int = 1024) -> DataFrame:
-    """mapInArrow in slices of bounded size. ``make`` runs once in each task and returns the function of a slice."""
+class Known(dict):
+    """What was made of keys, bounded, in two generations: what was not asked for during a generation goes. Long keys are not kept."""
+
+    def __init__(self, make: Callable, most: int, longest: int = 100) -> None:
+        super().__init__()
+        self.make, self.half, self.longest, self.old = make, most // 2, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, such as a vocabulary with its caches: one object for each worker, made anew
+    when another one was in use meanwhile."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def let_go(key: object) -> None:
+    """Frees what a task of another operator left in this worker: workers are used again, and its caches would lie beside the new task's."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]], schema: str, rows: int = 1024, keeps: object = None) -> DataFrame:
+    """mapInArrow in slices of bounded size. ``make`` runs once in each task and returns the function of a slice; ``keeps`` is the key
+    of the resident object that it takes, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         fn = make()
         for batch in batches:
             for part in slices(batch, rows):

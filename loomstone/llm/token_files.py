@@ -20,7 +20,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.bpe import byte_of_char
-from loomstone.llm.common import as_bytes, id_and_text, slices
+from loomstone.llm.common import Known, as_bytes, id_and_text, resident, slices
 from loomstone.plans.session import partitions_for, shared_path, written
 
 MAGIC = b"LSTS8B01"
@@ -38,7 +37,7 @@ MAGIC = b"LSTS8B01"
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 16 << 20
-WORD_CACHE, LONG_WORD = 800_000, 100
+WORD_CACHE = 800_000
 #: Words of ASCII marks, digits and letters and of the letters of Latin-1, which normalisation only lower-cases.
 SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Fixed value: the pre-tokenizer's pattern for such words in lower case.
@@ -200,28 +199,6 @@ class ShardReader:
             yield (None if null else doc), pieces
 
 
-class Known(dict):
-    """What was made of keys, bounded, in two generations: what was not asked for during a generation goes. Long keys are not kept."""
-
-    def __init__(self, make: Callable, most: int) -> None:
-        super().__init__()
-        self.make, self.half, self.old = make, most // 2, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONG_WORD:
-            self[key] = value
-        return value
-
-    def turn(self) -> None:
-        """Begin a new generation if this one is full."""
-        if len(self) > self.half:
-            self.old = dict(self)
-            self.clear()
-
-
 class WordTokenizer:
     """The tokenizers library, asked once for each distinct piece.
 
@@ -255,15 +232,12 @@ class WordTokenizer:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        self.words.turn()
-        self.pieces.turn()
         known = self.words.__getitem__
         return [np.frombuffer(b"".join(map(known, t.split())), "<u4") for t in texts]
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return resident(("word-bpe", path), lambda: WordTokenizer(path))
 
 
 def default_path() -> str:

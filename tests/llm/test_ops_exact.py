@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomstone.llm import bpe, exact_dedup, secrets, token_files
+from loomstone.llm import bpe, common, exact_dedup, secrets, token_files
 
 SCHEMA = "doc_id long, text string, blob string, length int, spans string"
 ODD = ["", None, "a", "A", " ", "\n\n", "don't stop", "x" * 5000, "The  the\tthe \n end ", "é" * 300, "<|endoftext|> is <|endoftext|>", "漢字かな 12345 !!", "naïve\u3000Ünïcode\x85\x1c", "İstanbul ǅ ß \u0301"]
@@ -193,3 +193,14 @@ def test_exact_groups_with_hot_keys(spark):
     got = {r.doc_id: r for r in exact_dedup.exact_groups(docs, digest=True).collect()}
     assert len(got) == len(texts) and all(got[k].keep_id == 3009 and got[k].group_size == 3010 and got[k].kept == (k == 3009) for k in range(3010))
     assert all(got[3010 + k].keep_id == 3010 + 1500 + k % 1500 and got[3010 + k].group_size == 2 for k in range(3000))
+
+
+def test_a_worker_keeps_one_model():
+    made = []
+    first = common.resident("a", lambda: made.append("a") or object())
+    common.let_go("a")
+    assert common.resident("a", lambda: made.append("again")) is first
+    common.let_go(None)
+    assert common.resident("a", lambda: made.append("anew") or object()) is not first
+    common.resident("b", lambda: made.append("b"))
+    assert made == ["a", "anew", "b"] and list(common._RESIDENT) == ["b"]
