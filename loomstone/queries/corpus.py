@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
@@ -192,8 +193,12 @@ def overlapping_entries(spark, sf):
 
 @query("""SELECT doc_id, row_number() OVER () - 1 AS arrival FROM documents""")
 def arrival_numbers(spark, sf):
-    """The place of each row in its file, the same in every run."""
-    return table(spark, sf, "documents").select("doc_id", F.col("_metadata.row_index").alias("arrival"))
+    """The place of each row in the table, the same in every run: files in the order of their paths, rows as they lie in them."""
+    rows = table(spark, sf, "documents").select("doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    offsets = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(F.broadcast(offsets), "file").select("doc_id", (F.col("at") + F.col("offset")).alias("arrival"))
 
 
 @query("""SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS rn FROM documents) WHERE rn <= 25""")

@@ -407,3 +407,14 @@ def test_bitmap_misses_nothing(spark):
     inside, outside = (rng.integers(-(2**63), 2**63, 3000) for _ in range(2))
     bitmap = bitmap_of(spark.createDataFrame([(int(x),) for x in inside], "h long"), "h", len(inside))
     assert in_bitmap(bitmap, inside.view(np.uint64)).all() and in_bitmap(bitmap, outside.view(np.uint64)).mean() < 0.001
+
+
+def test_arrival_numbers_go_on_over_files(spark, tmp_path):
+    from loomstone.queries.corpus import arrival_numbers
+
+    path = tmp_path / "documents.parquet"
+    path.mkdir()
+    for k, ids_of in enumerate(([5, 3, 9], [1], [8, 2])):
+        pd.DataFrame({"doc_id": ids_of}).to_parquet(path / f"part-{k}.parquet")
+    assert [r.doc_id for r in arrival_numbers(spark, str(tmp_path)).orderBy("arrival").collect()] == [5, 3, 9, 1, 8, 2]
+    assert sorted(r.arrival for r in arrival_numbers(spark, str(tmp_path)).collect()) == list(range(6))
