@@ -186,8 +186,5 @@ def markdown_chunks(spark, sf):
 @query()
 def bpe_merge_steps(spark, sf):
     """The first merges from single characters, of pairs that occur at least ten times; all distinct segments feed the loop."""
-    counted = B.segment_counts(documents(spark, sf)).where("length(segment) >= 2").toArrow().to_pylist()
-    chars = sorted({c for r in counted for c in r["segment"]})
-    vocabulary = {c: k for k, c in enumerate(chars)}
-    merges = B.merge_steps({tuple(vocabulary[c] for c in r["segment"]): r["n"] for r in counted}, dict(vocabulary), 100, 10)
+    merges = B.merge_steps_at_scale(B.segment_counts(documents(spark, sf)), 100, 10)
     return spark.createDataFrame(merges, "left string, right string, id int, n long")

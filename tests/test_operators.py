@@ -460,3 +460,15 @@ def test_near_stage_hashes_once_and_writes_no_texts(spark, tmp_path, monkeypatch
     got = {r.doc_id: r.kept for r in Q.full_decisions(spark, str(tmp_path)).collect()}
     assert len(got) == 34 and not any(text for _, text in names)
     assert [n for n, _ in names].count("exact-hashes") == 1
+
+
+def test_merge_steps_with_segments_in_files(spark, monkeypatch):
+    monkeypatch.setattr(bpe_continuation, "BLOCK", 7)
+    rng = random.Random(3)
+    for alphabet, steps, least in (("ab", 25, 1), ("abcé😀", 30, 3)):
+        rows = list({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))): rng.randrange(1, 9) for _ in range(150)}.items())
+        long = [(s, n) for s, n in rows if len(s) >= 2]
+        vocabulary = {c: k for k, c in enumerate(sorted({c for s, _ in long for c in s}))}
+        want = bpe_continuation.merge_steps({tuple(vocabulary[c] for c in s): n for s, n in long}, dict(vocabulary), steps, least)
+        assert bpe_continuation.merge_steps_at_scale(spark.createDataFrame(rows, "segment string, n long"), steps, least, every=9) == want
+    assert bpe_continuation.merge_steps_at_scale(spark.createDataFrame([], "segment string, n long"), 5) == []
