@@ -38,6 +38,8 @@ MARGIN = 0.2
 BLOCK_CLASSES, BLOCK_SHINGLES = 128, 1 << 20
 #: Classes of a node in one block of the comparison of signatures.
 NODE_CLASSES = 512
+#: Rows of that comparison that are worth a task and a file of their own: on a local folder, each file that is made starts processes.
+TASK_ROWS = 4096
 COLUMNS = 1 << 13
 
 MULTIPLIERS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -215,11 +217,13 @@ def candidates(classes: DataFrame, threshold: float, recall: float, margin: floa
         of_node = of_node.where("n > 1 and n_open > 0")
         # Of nodes with the same classes, as copies have in most trees, one is looked at.
         of_node = of_node.groupBy("members", "least", "n").agg(F.min("node").alias("node")).select("node", "n")
-        in_node = hot_join(forest.select(F.col(f"d{depth}").alias("node"), "cid", "open"), written(of_node, "near-nodes"), ["node"], "n", total)
+        of_node = written(of_node, "near-nodes")
+        in_node = hot_join(forest.select(F.col(f"d{depth}").alias("node"), "cid", "open"), of_node, ["node"], "n", total)
         blocks = F.ceil(F.col("n") / NODE_CLASSES)
+        n_work = of_node.agg(F.sum(F.col("n") * blocks)).first()[0] or 0
         in_node = in_node.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).join(sigs.hint("merge"), "cid")
         work_rows = in_node.select("node", F.explode(pairs_of_blocks()).alias("p"), "cid", "open", "sig").select("node", "p.i", "p.j", "cid", "p.side", "open", "sig")
-        work_rows = work_rows.repartition(parts, "node", "i", "j").sortWithinPartitions("node", "i", "j")
+        work_rows = work_rows.repartition(max(1, min(parts, -(-n_work // TASK_ROWS))), "node", "i", "j").sortWithinPartitions("node", "i", "j")
 
         def work(rows: list[tuple], key: tuple, depth: int = depth) -> list[tuple]:
             return [(key[0], *x) for x in agreements(rows, key[1] == key[2], threshold, margin, depth)]

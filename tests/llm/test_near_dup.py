@@ -164,3 +164,26 @@ def test_prefixes_are_shortened_class_by_class():
     assert [(c, r, n) for c, r, n, _ in found] == [(0, 0, 2), (1, 0, 2), (2, 0, 2)] and all(0 <= m < 1e-3 for *_, m in found)
     closed = [(c, 0, False, s) for c, _, _, s in rows]
     assert near_dup.agreements(closed, True, 0.8, 0.2, 8) == []
+
+
+def test_few_rows_make_few_files(spark, monkeypatch):
+    """The comparison of signatures makes tasks and files for its rows, not for the partitions of the input; large nodes still part."""
+    made = []
+
+    def kept(df, name, write=near_dup.written):
+        out = write(df, name)
+        if name == "near-edges":
+            made.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dup, "written", kept)
+    texts = corpus()
+    classes = near_dup.signatures(near_dup.id_and_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).where("sig is not null").withColumnRenamed("doc_id", "cid")
+    few = near_dup.candidates(classes, 0.8, 0.999, near_dup.MARGIN, 12)
+    want = connected_components(few, "cid", "root").collect()
+    assert made == [1, 1, 1]
+    made.clear()
+    monkeypatch.setattr(near_dup, "TASK_ROWS", 16)
+    many = near_dup.candidates(classes, 0.8, 0.999, near_dup.MARGIN, 12)
+    assert max(made) > 4
+    assert sorted(connected_components(many, "cid", "root").collect()) == sorted(want)
